@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +61,23 @@ def word_count(text: Column) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def map_texts(df: DataFrame, keep: list[str], text: str, made: str, run: Callable[[list[str | None]], dict[str, Any]]) -> DataFrame:
+    """The columns keep as they are, and the columns `made` (a DDL schema) that run computes from each Arrow
+    batch of whole texts. Columns that are kept never leave Arrow, so null and large ids stay exact."""
+    kept = [F.col(c).alias(f"__{i}") for i, c in enumerate(keep)]
+    src = df.select(*kept, F.col(text).alias("__text"))
+    kinds = [src.schema[f"__{i}"].dataType.simpleString() for i in range(len(keep))]
+    names = [x.split()[0] for x in made.split(", ")]
+
+    def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in them:
+            got = run(b.column(len(keep)).to_pylist())
+            columns = [b.column(i) for i in range(len(keep))]
+            columns += [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in (got[n] for n in names)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*(f"__{i}" for i in range(len(keep))), *names])
+
+    schema = ", ".join([*(f"__{i} {k}" for i, k in enumerate(kinds)), made])
+    out = src.mapInArrow(batches, schema)
+    return out.withColumnsRenamed({f"__{i}": c for i, c in enumerate(keep)})

@@ -16,13 +16,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.common import map_texts
+
 EPSILON, DELTA = 0.02, 0.05
 
 #: Rules: score column -> cutoffs from lenient to strict; a document is rejected when its score exceeds the cutoff.
@@ -91,14 +92,11 @@ def profile(text: str | None) -> tuple[int, ...]:
 def with_profile(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns keep and the counts of each text, computed from whole texts in Arrow batches."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = pd.DataFrame([profile(t) for t in b["__text"]], columns=COUNTS + OTHERS, dtype="int64")
-            yield pd.concat([b.drop(columns="__text").reset_index(drop=True), got], axis=1)
+    def run(texts: list[str | None]) -> dict[str, pa.Array]:
+        rows = [profile(t) for t in texts]
+        return {c: pa.array([r[i] for r in rows], pa.int64()) for i, c in enumerate(COUNTS + OTHERS)}
 
-    src = docs.select(*keep, F.col(text).alias("__text"))
-    kinds = dict(docs.select(*keep).dtypes)
-    return src.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", " + PROFILE)
+    return map_texts(docs, keep, text, PROFILE, run)
 
 
 def scores() -> dict[str, Column]:

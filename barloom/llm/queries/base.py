@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import line_dedup, mixing, quality_rules, secrets
+from barloom.llm import jaccard, line_dedup, mixing, quality_rules, secrets
 from barloom.llm.common import read, stage
 
 
@@ -81,5 +81,9 @@ FROM d LEFT JOIN a USING (doc_id)
 """
 
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op3_quality_rules": op3_quality_rules, "op6_line_dedup": op6_line_dedup, "op8_secret_scan": op8_secret_scan}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_groups(read(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+QUERIES = {"op10_jaccard_join": op10_jaccard_join, "op1_mix_sources": op1_mix_sources, "op3_quality_rules": op3_quality_rules, "op6_line_dedup": op6_line_dedup, "op8_secret_scan": op8_secret_scan}
 SQL = {"op6_line_dedup": OP6_SQL, "op8_secret_scan": _op8_sql()}
