@@ -7,7 +7,9 @@ import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: The ASCII white space that ends words and is stripped from line keys.
 BLANKS = " \t\n\x0b\x0c\r"
+SLICE_BYTES = 4_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -72,11 +75,18 @@ def map_texts(df: DataFrame, keep: list[str], text: str, made: str, run: Callabl
     names = [x.split()[0] for x in made.split(", ")]
 
     def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in them:
-            got = run(b.column(len(keep)).to_pylist())
-            columns = [b.column(i) for i in range(len(keep))]
-            columns += [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in (got[n] for n in names)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*(f"__{i}" for i in range(len(keep))), *names])
+        for whole in them:
+            # at most SLICE_BYTES of text at once, or one row: this bounds a worker's memory, not the work
+            ends = np.cumsum(pc.fill_null(pc.binary_length(whole.column(len(keep))), 0).to_numpy())
+            at = 0
+            while at < len(ends):
+                upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+                b = whole.slice(at, upto - at)
+                at = upto
+                got = run(b.column(len(keep)).to_pylist())
+                columns = [b.column(i) for i in range(len(keep))]
+                columns += [x if isinstance(x, pa.Array) else pa.array(x) for x in (got[n] for n in names)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*(f"__{i}" for i in range(len(keep))), *names])
 
     schema = ", ".join([*(f"__{i} {k}" for i, k in enumerate(kinds)), made])
     out = src.mapInArrow(batches, schema)

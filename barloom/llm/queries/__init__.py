@@ -1,6 +1,6 @@
 """Registered queries of the corpus operators and their SQL."""
 
-from barloom.llm.queries import base
+from barloom.llm.queries import base, texts
 
-QUERIES = {**base.QUERIES}
-SQL = {**base.SQL}
+QUERIES = {**base.QUERIES, **texts.QUERIES}
+SQL = {**base.SQL, **texts.SQL}
