@@ -1,8 +1,72 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. All but the last return the
+columns of documents; the last adds the tokens of what is left.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from barloom.llm import bpe, jaccard, line_dedup, mixing, quality_rules
+from barloom.llm.common import read, stage, stage_path
+from barloom.llm.queries.texts import TOKENIZER
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality rules: documents that the base or a certified cutoff rejects go."""
+    labels = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    verdicts = quality_rules.judge(docs, labels, stage=stage).where("kept").select("doc_id")
+    return docs.join(verdicts.distinct(), "doc_id", "left_semi").select(*COLUMNS)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup: lines that other documents hold too stay in the first of them only. A document all of whose
+    lines stay elsewhere is left as an empty text: this stage drops lines, not documents."""
+    out = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join on five words at 0.8: the smallest doc_id of each group stays."""
+    heads = jaccard.join_groups(docs, k=5, percent=80).where("doc_id = component_id").select("doc_id")
+    return docs.join(heads.distinct(), "doc_id", "left_semi").select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing: every document is repeated as often as the mix takes it."""
+    copies = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("__copies")).where("__copies > 0")
+    out = docs.join(copies, "doc_id").withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    return out.select(*COLUMNS)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """BPE: the token ids of each text, and whether decoding gives the text back."""
+    coded = bpe.encode(docs, TOKENIZER, keep=COLUMNS)
+    back = bpe.decode(coded, TOKENIZER, [*[c for c in COLUMNS if c != "text"], "n_tokens", "ids"])
+    return back.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality rules", keep_good),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("mixing sources", mix_sources),
+    ("BPE encoding", tokenize),
+]
+
+#: No SQL: learned cutoffs, Newton iterations and merges; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each through a Parquet table in the shared folder."""
+    docs = read(spark, sf_dir, "documents").select(*COLUMNS)
+    for i, (_, step) in enumerate(STAGES):
+        path = stage_path(spark, f"stage{i}")
+        step(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
