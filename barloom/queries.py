@@ -29,6 +29,8 @@ BOUNDS = SampleBoundary("1995-01-01", "1998-12-31", "1999-01-01", "2001-12-31")
 SEED_EXPRESSIONS = {f.factor_id: f.expression for f in seed_factors()}
 SEED_PAIRS = {f.factor_id: (f.expression, f.direction) for f in seed_factors()}
 BAR_COLUMNS = ["symbol", "trade_date", *FIELDS]
+#: Factor values are rounded to so many places before they are ranked.
+TIE_PLACES = 6
 #: Portfolio of the registered back-tests.
 PORTFOLIO = PortfolioConfig(rebalance="weekly")
 
@@ -207,15 +209,16 @@ def factor_all_long(s: SparkSession, d: str) -> DataFrame:
     return rounded(evaluate_all(months(s, d), SEED_PAIRS), 6)
 
 
-def long_sql(source: str = BARS, name: str = "v") -> str:
+def long_sql(source: str = BARS, name: str = "v", places: int | None = 6) -> str:
     """CTEs that end in name: factor_id, symbol, trade_date, forward_return, factor_value of all built-in factors."""
     panel = expression_sql(SEED_EXPRESSIONS, source)
     fwd = "lead(close, 1) OVER (PARTITION BY symbol ORDER BY trade_date) / nullif(close, 0) - 1"
-    one = " UNION ALL ".join(f"SELECT '{f}' AS factor_id, symbol, trade_date, forward_return, {f} * {SEED_PAIRS[f][1]} AS factor_value FROM pf" for f in SEED_EXPRESSIONS)
+    value = lambda f: f"{f} * {SEED_PAIRS[f][1]}" if places is None else f"round({f} * {SEED_PAIRS[f][1]}, {places})"
+    one = " UNION ALL ".join(f"SELECT '{f}' AS factor_id, symbol, trade_date, forward_return, {value(f)} AS factor_value FROM pf" for f in SEED_EXPRESSIONS)
     return f"{panel}, pf AS MATERIALIZED (SELECT *, {fwd} AS forward_return FROM panel), {name} AS MATERIALIZED ({one})"
 
 
-add("factor_all_long", factor_all_long, f"WITH {long_sql()} SELECT factor_id, symbol, trade_date, {r('factor_value', 'factor_value', 6)} FROM v")
+add("factor_all_long", factor_all_long, f"WITH {long_sql(places=None)} SELECT factor_id, symbol, trade_date, {r('factor_value', 'factor_value', 6)} FROM v")
 
 # --- the registry's texts
 
@@ -256,7 +259,9 @@ def values(s: SparkSession, d: str, part: str = "all") -> DataFrame:
     """All built-in factors in long form with the forward return, computed within the period."""
     p = months(s, d)
     p = {"all": lambda: p, "train": lambda: BOUNDS.train(p), "oos": lambda: BOUNDS.oos(p)}[part]()
-    return evaluate_all(mt.with_forward_return(p), SEED_PAIRS, keep=("forward_return",))
+    out = evaluate_all(mt.with_forward_return(p), SEED_PAIRS, keep=("forward_return",))
+    # values that differ in their last bits only are ties: ranks must not hang on the order of a sum
+    return out.withColumn("factor_value", F.round("factor_value", TIE_PLACES))
 
 
 TRAIN, OOS = (f"SELECT * FROM ({BARS}) WHERE trade_date BETWEEN DATE '{a}' AND DATE '{b}'" for a, b in ((BOUNDS.train_start, BOUNDS.train_end), (BOUNDS.oos_start, BOUNDS.oos_end)))
@@ -369,12 +374,20 @@ add("oos_sign", lambda s, d: oos(s, d).select("factor_id", "sign_consistent"), f
 BT_EXPRESSION = SEED_EXPRESSIONS["seed_010"]
 
 
+def index_bars(s: SparkSession, d: str) -> DataFrame:
+    """Month bars as an index of the logarithm of prices, whose returns compound to readable numbers."""
+    return months(s, d).withColumn("close", 100 + F.ln("close"))
+
+
+INDEX = f"SELECT symbol, trade_date, open, high, low, 100 + ln(close) AS close, volume, amount FROM ({BARS})"
+
+
 def bt_values(s: SparkSession, d: str) -> DataFrame:
-    p = bt.with_daily_return(with_expressions(months(s, d), {"factor_value": BT_EXPRESSION}))
+    p = bt.with_daily_return(with_expressions(index_bars(s, d), {"factor_value": BT_EXPRESSION}))
     return p.select("symbol", "trade_date", "factor_value", "daily_return")
 
 
-BT = f"""{expression_sql({'factor_value': BT_EXPRESSION}, BARS)},
+BT = f"""{expression_sql({'factor_value': BT_EXPRESSION}, INDEX)},
 q AS MATERIALIZED (SELECT symbol, trade_date, factor_value, close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY trade_date), 0) - 1 AS daily_return FROM panel),
 days AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS i FROM (SELECT DISTINCT trade_date FROM q)),
 reb AS (SELECT * FROM days WHERE i % 5 = 0),
