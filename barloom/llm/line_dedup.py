@@ -45,12 +45,14 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
         held = at.select("__a", "__b", "__id").distinct().groupBy("__a", "__b").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__last")).where(F.col("__last") >= min_docs)
     # both sides of the next join are plain tables, so that adaptive execution can split a hot hash
     held = stage(held.select("__a", "__b", "__first"), "repeated")
-    drops = at.join(held, ["__a", "__b"]).where("__id <> __first").groupBy("__id", "__body").agg(F.collect_set("__pos").alias("__drop"))
-    out = docs.drop("n_lines", "n_dropped").withColumn("__body", F.xxhash64(body))
-    out = out.join(drops.withColumnRenamed("__body", "__of"), (F.col(doc_id) == F.col("__id")) & (F.col("__body") == F.col("__of")), "left")
+    drops = at.join(held, ["__a", "__b"]).where("__id <> __first").groupBy("__id", "__body").agg(F.collect_set("__pos").alias("__barloom_drop"))
+    # names of their own, since docs may have columns of any name
+    own = {"__id": "__barloom_id", "__body": "__barloom_of"}
+    out = docs.drop("n_lines", "n_dropped").withColumn("__barloom_body", F.xxhash64(body))
+    out = out.join(drops.withColumnsRenamed(own), (F.col(doc_id) == F.col("__barloom_id")) & (F.col("__barloom_body") == F.col("__barloom_of")), "left")
     n = F.size(lines)
-    left = F.array_except(F.sequence(F.lit(0), n - 1), F.col("__drop"))
-    kept = F.when(F.col("__drop").isNull(), body).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    left = F.array_except(F.sequence(F.lit(0), n - 1), F.col("__barloom_drop"))
+    kept = F.when(F.col("__barloom_drop").isNull(), body).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     return out.withColumns(
-        {"n_lines": n.cast("long"), "n_dropped": F.when(F.col("__drop").isNull(), F.lit(0)).otherwise(F.size("__drop")).cast("long"), text: kept}
-    ).drop("__id", "__of", "__body", "__drop")
+        {"n_lines": n.cast("long"), "n_dropped": F.when(F.col("__barloom_drop").isNull(), F.lit(0)).otherwise(F.size("__barloom_drop")).cast("long"), text: kept}
+    ).drop("__barloom_id", "__barloom_of", "__barloom_body", "__barloom_drop")
