@@ -1,4 +1,4 @@
-"""Queries of operators 2, 5, 7, 9 and 10."""
+"""Queries of operators 2, 4, 5, 7, 9 and 10."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, html_text, imatch, jaccard, mil
+from barloom.llm import bpe, html_text, imatch, jaccard, mil, training_order
 from barloom.llm.common import read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,6 +16,13 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages"))
 
 
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.materialise(read(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.compare_with_edits(read(spark, sf_dir, "documents"))
 
@@ -43,6 +50,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_html_extraction": op2_html_extraction,
+    "op4_training_order": op4_training_order,
     "op5_fingerprints": op5_fingerprints,
     "op7_bpe": op7_bpe,
     "op9_quality_classifier": op9_quality_classifier,
