@@ -73,7 +73,12 @@ def rank_turnover(values: DataFrame) -> DataFrame:
 
 
 def all_metrics(values: DataFrame, annualization: float = 252.0) -> DataFrame:
-    """One row for each factor with any valid date; the others are all zeros."""
+    """One row for each factor with any valid date; the others are all zeros.
+
+    Three aggregations read the values, so they are kept (in memory, on disk beyond it) rather than computed three times;
+    unpersist `values` when done, or clear the session's cache.
+    """
+    values = values.select("factor_id", "symbol", "trade_date", "factor_value", "forward_return").persist()
     base = coverage(values).join(rank_turnover(values), "factor_id", "left").join(ic_summary(daily_ic(values), annualization), "factor_id", "left")
     none = F.col("n_valid_dates").isNull()
     cols = [c for c in base.columns if c not in ("factor_id", "n_valid_dates")]
