@@ -24,7 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import map_texts
+from barloom.llm.common import map_texts, stage
 
 # The public pattern that splits texts into words before byte-level merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -288,10 +288,21 @@ def encode_texts(texts: list[str | None], vocab: Vocabulary, lexicon: Lexicon |
 
 
 def frequent_words(docs: DataFrame, text: str = "text", most: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words of all documents, counted whole; ties go by the word."""
+    """The most frequent words of all documents, counted whole; at most `most`, without those at the edge.
+
+    A histogram of counts (a few hundred rows) tells which counts fit, so that only the words themselves reach
+    the driver, however many tasks there are.
+    """
     words = docs.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))).alias("word"))
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return [r[0] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts = stage(counts.withColumn("bin", F.floor(8 * F.log2("n")).cast("int")), "words")
+    left, least = most, None
+    for r in sorted(counts.groupBy("bin").count().collect(), key=lambda r: -r["bin"]):
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["bin"]
+    return [] if least is None else sorted(r[0] for r in counts.where(F.col("bin") >= least).select("word").collect())
 
 
 def ship_lexicon(spark: SparkSession, words: list[str], tokenizer: str) -> str:
