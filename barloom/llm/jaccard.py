@@ -178,10 +178,12 @@ def _links(src: DataFrame, classes: DataFrame, order: bytes, k: int, percent: in
     # lists of two or more, and the most central set of each: the one with the fewest rare tokens
     lists = posts.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("score", "doc")).alias("pivot")).where("size > 1")
     lists = stage(lists.select("token", F.col("pivot.doc").alias("pivot"), F.col("pivot.score").alias("pivot_score")), "lists")
-    posts = stage(posts.join(lists, "token").select("token", "doc", "n", "pos", "pivot"), "posts")
+    posts = stage(posts.join(lists, "token").select("token", "doc", "n", "pos", "pivot", "pivot_score"), "posts")
     small = sets.select("doc", "n", "prefix", "score")
 
-    stars = posts.where("doc <> pivot").select(F.col("doc").alias("x"), F.col("pivot").alias("y")).distinct()
+    # each set is compared with one pivot first, the one it meets in most lists; all other pairs come later
+    stars = posts.where("doc <> pivot").groupBy(F.col("doc").alias("x"), F.col("pivot").alias("y")).agg(F.count(F.lit(1)).alias("met"), F.first("pivot_score").alias("score"))
+    stars = stars.groupBy("x").agg(F.max(F.struct("met", "score", "y"))["y"].alias("y"))
     first = stage(_verified(src, _filtered(stars, small, percent), k, percent), "stars")
     linked = first.where("linked")
     # pivots stand for the sets that link with them, unless they hang on another pivot themselves
