@@ -39,6 +39,8 @@ from barloom.llm.shingles import set_digest, shingle_set
 SKETCH_BITS, BLOCK_BITS = 22, 16
 #: Tokens that a task sorts at once to find repeated ones (32 MB).
 CHUNK = 4_000_000
+#: Ids of sets to compare are broadcast up to so many (about 16 bytes each), and joined by shuffle beyond.
+BROADCAST_IDS = 2_000_000
 
 
 def join_groups(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -266,7 +268,9 @@ def _verified(src: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
         for b in batches:
             yield pd.DataFrame({"doc": b["doc"], "tokens": [shingle_set(t, k) for t in b["body"]]})
 
-    asked = pairs.select(F.col("x").alias("id")).unionAll(pairs.select(F.col("y").alias("id"))).distinct()
+    asked = stage(pairs.select(F.col("x").alias("id")).unionAll(pairs.select(F.col("y").alias("id"))).distinct(), "asked")
+    if asked.count() <= BROADCAST_IDS:
+        asked = F.broadcast(asked)  # texts then stay where they are
     texts = src.join(asked, F.col("doc") == F.col("id"), "left_semi")
     sets = texts.mapInPandas(full, "doc long, tokens array<long>")
     sets = stage(sets, "sets")
