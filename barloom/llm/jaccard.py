@@ -202,22 +202,22 @@ def _links(src: DataFrame, classes: DataFrame, order: bytes, k: int, percent: in
     crowded = blocks.groupBy("token").agg(F.min("owner").alias("a"), F.max("owner").alias("b")).where("a < b").select("token")
     blocks = stage(blocks.join(crowded, "token", "left_semi"), "crowded")
     left = blocks.select("token", F.col("block").alias("at"), F.col("owner").alias("x"), F.col("low").alias("xl"), F.col("high").alias("xh"), F.col("pos").alias("xp"))
-    right = blocks.select("token", F.explode(F.array("block", F.col("block") - 1)).alias("at"), F.col("owner").alias("y"), F.col("low").alias("yl"), F.col("high").alias("yh"), F.col("pos").alias("yp"))
-    fits = (F.col("x") != F.col("y")) & (100 * F.col("xh") >= percent * F.col("yl")) & (100 * F.col("yh") >= percent * F.col("xl"))
-    met = left.join(right, ["token", "at"]).where(fits).select(
-        F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "token",
-        *[F.when(F.col("x") < F.col("y"), F.col(f"x{c}")).otherwise(F.col(f"y{c}")).alias(f"x{c}") for c in "lhp"],
-        *[F.when(F.col("x") < F.col("y"), F.col(f"y{c}")).otherwise(F.col(f"x{c}")).alias(f"y{c}") for c in "lhp"],
-    )
-    pairs = met.groupBy("x", "y").agg(
-        F.count_distinct("token").alias("common"), *[F.min(c).alias(c) for c in ("xl", "yl", "xp", "yp")], *[F.max(c).alias(c) for c in ("xh", "yh")]
-    ).where(_room(percent))
-    pairs = stage(pairs.join(first.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti").select("x", "y"), "pairs")
+    right = blocks.select(F.col("token").alias("token_y"), F.col("block").alias("own"), F.explode(F.array("block", F.col("block") - 1)).alias("at"), F.col("owner").alias("y"), F.col("low").alias("yl"), F.col("high").alias("yh"), F.col("pos").alias("yp"))
+    # sizes must fit, and the place of a common token must leave room for the overlap: of the tokens that two sets share,
+    # at least the first does. Within a block each pair meets once.
+    sizes = (F.col("x") != F.col("y")) & (100 * F.col("xh") >= percent * F.col("yl")) & (100 * F.col("yh") >= percent * F.col("xl"))
+    room = (F.col("xp") <= F.col("xh") - _overlap(F.col("xh"), F.col("yl"), percent) + 1) & (F.col("yp") <= F.col("yh") - _overlap(F.col("yh"), F.col("xl"), percent) + 1)
+    once = (F.col("x") < F.col("y")) | (F.col("at") != F.col("own"))
+    met = left.join(right.withColumnRenamed("at", "at_y"), (F.col("token") == F.col("token_y")) & (F.col("at") == F.col("at_y")) & sizes & room & once)
+    pairs = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    pairs = pairs.join(first.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
+    # two single sets also need enough common prefix tokens; clusters are compared in any case
+    heads = owners.select(F.col("owner").alias("h"), F.lit(True).alias("is_head")).distinct()
+    pairs = stage(_filtered(pairs, small, percent, heads), "pairs")
     second = stage(_verified(src, pairs, k, percent), "second")
 
     # clusters whose owners do not link: members that the triangle inequality cannot rule out
     known = second.unionByName(first.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "apart", "linked")).where("not linked")
-    heads = owners.select(F.col("owner").alias("h")).distinct()
     clustered = known.join(heads, F.col("x") == F.col("h"), "left_semi").unionByName(known.join(heads, F.col("y") == F.col("h"), "left_semi")).distinct()
     members = stage(small.join(owners, "doc", "left").select(F.coalesce("owner", "doc").alias("owner"), "doc", F.coalesce("away", F.lit(0)).alias("away"), "n"), "members")
     one, two = (members.select(*[F.col(v).alias(f"{c}_{v}") for v in members.columns]) for c in "xy")
@@ -239,25 +239,19 @@ def _need(percent: int, xl: Column, xh: Column, yl: Column, yh: Column) -> Colum
     return F.greatest(F.least(one, two) - 1, F.lit(1))
 
 
-def _room(percent: int) -> Column:
-    """Whether the common tokens and their first positions leave room for the overlap that is needed."""
-    c = F.col
-    last = lambda n, m: n - _overlap(n, m, percent)
-    return (
-        (c("common") >= _need(percent, c("xl"), c("xh"), c("yl"), c("yh")))
-        & (c("xp") <= last(c("xh"), c("yl")) + 1)
-        & (c("yp") <= last(c("yh"), c("xl")) + 1)
-    )
-
-
-def _filtered(pairs: DataFrame, small: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets whose sizes and prefixes allow a link; prefixes are a tenth or a fifth of a set."""
+def _filtered(pairs: DataFrame, small: DataFrame, percent: int, heads: DataFrame | None = None) -> DataFrame:
+    """Pairs of sets whose sizes and prefixes allow a link; prefixes are a tenth or a fifth of a set. Pairs with one of heads pass."""
     for c in "xy":
         pairs = pairs.join(small.select(F.col("doc").alias(c), F.col("n").alias(f"{c}n"), F.col("prefix").alias(f"{c}p")), c)
     xn, yn = F.col("xn"), F.col("yn")
     common = F.size(F.array_intersect("xp", "yp"))
     fits = (100 * F.least(xn, yn) >= percent * F.greatest(xn, yn)) & (common >= _need(percent, xn, xn, yn, yn))
-    return pairs.where(fits).select("x", "y")
+    pairs = pairs.select("x", "y", fits.alias("fits"))
+    if heads is not None:
+        for c in "xy":
+            pairs = pairs.join(heads.withColumnsRenamed({"h": c, "is_head": f"{c}_head"}), c, "left")
+        pairs = pairs.withColumn("fits", F.col("fits") | F.coalesce("x_head", "y_head", F.lit(False)))
+    return pairs.where("fits").select("x", "y")
 
 
 def _verified(src: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
