@@ -206,7 +206,7 @@ def _links(src: DataFrame, classes: DataFrame, order: bytes, k: int, percent: in
     # sizes must fit, and the place of a common token must leave room for the overlap: of the tokens that two sets share,
     # at least the first does. Within a block each pair meets once.
     sizes = (F.col("x") != F.col("y")) & (100 * F.col("xh") >= percent * F.col("yl")) & (100 * F.col("yh") >= percent * F.col("xl"))
-    room = (F.col("xp") <= F.col("xh") - _overlap(F.col("xh"), F.col("yl"), percent) + 1) & (F.col("yp") <= F.col("yh") - _overlap(F.col("yh"), F.col("xl"), percent) + 1)
+    room = (F.col("xp") <= F.col("xh") - _overlap(F.col("xh"), F.col("yl"), percent)) & (F.col("yp") <= F.col("yh") - _overlap(F.col("yh"), F.col("xl"), percent))
     once = (F.col("x") < F.col("y")) | (F.col("at") != F.col("own"))
     met = left.join(right.withColumnRenamed("at", "at_y"), (F.col("token") == F.col("token_y")) & (F.col("at") == F.col("at_y")) & sizes & room & once)
     pairs = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
