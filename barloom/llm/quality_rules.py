@@ -178,14 +178,14 @@ def thresholds(profiled: DataFrame, good: DataFrame, stratum: str = "lang", doc_
     return found
 
 
-def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang", epsilon: float = EPSILON, delta: float = DELTA, stage=None) -> DataFrame:
-    """One row per row of docs: doc_id, stratum, the counts, base_failed, rejected_by (array), kept.
+def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang", epsilon: float = EPSILON, delta: float = DELTA, stage=None, keep: list[str] | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, stratum, the columns keep, the counts, base_failed, rejected_by (array), kept.
 
     labels: doc_id and label (1 good, 0 bad; null is no label). Null and empty texts have no words and fail
     the base. Null ids get a verdict like any other row and are never labelled. A null stratum is a stratum.
     stage(df, name) writes the profile once, so that texts are read once; without it they are read twice.
     """
-    p = with_profile(docs, [doc_id, stratum], text)
+    p = with_profile(docs, [doc_id, stratum, *(keep or [])], text)
     p = stage(p, "profile") if stage else p
     cuts = thresholds(p, labels, stratum, doc_id, epsilon, delta)
     by = scores()

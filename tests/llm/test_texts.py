@@ -220,3 +220,32 @@ def test_pipeline(spark):
     for r in last.collect():
         assert np.frombuffer(r["ids"], "<u4").tolist() == lib.encode(texts[r["doc_id"]], add_special_tokens=False).ids
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    rnd = random.Random(11)
+    good = [" ".join(f"w{rnd.randint(0, 9999)}" for _ in range(80)) for _ in range(4)]
+    rows = [(None, good[0], None, None), (None, good[1], "en", "a"), (1, good[2], "en", None), (1, good[2], "en", None), (1, "short", "en", "a"), (2, None, None, None), (3, "", "fr", "")]
+    rows += [(None, None, None, None), (4, good[3], None, "a"), (5, good[3] + " tail", "en", "b"), (6, " ".join(f"v{i}" for i in range(60_000)), "en", "b")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, copies int, k_doc_id long, component_id long"
+    at = str(tmp_path)
+    spark.createDataFrame([(1, 1, None), (1, 0, 0), (None, 1, 1), (77, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    docs = spark.createDataFrame([(*r, None, 1, 2, 3) for r in rows], schema)
+    seen = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    kept = corpus_pipeline.keep_good(spark, docs, at)
+    assert seen(kept) == sorted(((i, t) for i, t, *_ in rows if t and len(t) > 10), key=str)
+    lines = corpus_pipeline.drop_repeated_lines(spark, docs, at)
+    assert lines.columns == corpus_pipeline.COLUMNS and seen(lines) == sorted(((i, t or "") for i, t, *_ in rows), key=str)
+    heads = corpus_pipeline.one_of_each_group(spark, docs, at)
+    assert seen(heads) == sorted(((i, t) for i, t, *_ in rows if i != 5), key=str)
+    mixed = corpus_pipeline.mix_sources(spark, docs, at)
+    counts = {(r["doc_id"], r["text"]): r["count"] for r in mixed.groupBy("doc_id", "text").count().collect()}
+    assert mixed.columns == corpus_pipeline.COLUMNS and set(counts) <= {(i, t) for i, t, *_ in rows} and max(counts.values()) <= 6
+    assert any(i is None and t for i, t in counts)
+    docs.write.parquet(f"{at}/documents.parquet")
+    out = corpus_pipeline.run(spark, at).collect()
+    assert out and {r["doc_id"] for r in out} <= {None, 1, 4, 6} and all(r["n_tokens"] > 0 for r in out)
+    none = str(tmp_path / "none")
+    docs.limit(0).write.parquet(f"{none}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{none}/labels.parquet")
+    assert corpus_pipeline.run(spark, none).count() == 0
