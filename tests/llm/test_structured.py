@@ -215,6 +215,16 @@ def test_ledger_scans_each_pair_once(spark, tmp_path):
     assert secrets.scan(table(spark, []), secrets.BASE, at).count() == 0
 
 
+def test_assignments_in_capitals_alone(spark, tmp_path):
+    texts = ["PASSWORD=hunter22", "DB_PASSWORD: abcdef1", "PASSWD=abcdef1", "passWord=abcdef1", "passwd=abcdef1", "SECRET\"  : 'abcdef1", "API_KEY=abcdef1", "TOKENS=abcdef1", "KEYS=abcdef1"]
+    df, at = table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), str(tmp_path / "ledger")
+    for r in secrets.scan(df, secrets.BASE).collect():
+        assert [(f["start"], f["kind"], f["end"]) for f in r["findings"]] == slow_spans(texts[r["doc_id"]]), texts[r["doc_id"]]
+    # a ledger of the rule's first version, which found nothing in these texts, does not hide them
+    df.select(F.sha2("text", 256).alias("blob"), F.array(F.lit("assign@1")).alias("scanned"), F.array().cast(f"array<{secrets.FINDING}>").alias("findings")).write.parquet(at)
+    assert sum(len(r["findings"]) for r in secrets.scan(df, secrets.BASE, at).collect()) == sum(len(slow_spans(t)) for t in texts) == 7
+
+
 def test_more_kinds_keep_the_base(spark):
     t = "-----BEGIN RSA PRIVATE KEY----- ghp_" + "a1B2" * 10 + " password: hunter22"
     r = secrets.scan(table(spark, [(1, t, "en", "a")])).select(secrets.rendered(F.col("findings"), secrets.RULES).alias("s")).first()
