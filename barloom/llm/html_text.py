@@ -1,7 +1,8 @@
 """Main text of HTML pages by composite text density.
 
 Markup is read into a tree of nodes. Parts that never hold an article (scripts, styles, menus, forms, adverts and
-the like, by tag or by class name) are left out. Every node then has C characters, T tags, LC characters
+the like, by tag or by class name) are left out; a name is not believed where it stands for most of the page's
+text. Every node then has C characters, T tags, LC characters
 inside links and LT link tags below it; its density is the link-adjusted number of characters per tag,
 
     C / T * log( C / LC * T / LT ) / log( log( C / nLC * LC + LCb / Cb * C + e ) + e - 1 )
@@ -43,40 +44,56 @@ MARKS = set(
     "sidebar aside footer masthead header topbar toolbar notice notices cookie cookies consent gdpr popup modal overlay alert newsletter subscribe subscription signup login "
     "comment comments commentlist disqus respond reply replies discussion social share sharing related recommended widget skip search form copyright legal disclaimer".split()
 )
+#: Of these, words whose parts often outweigh a short article: names with them are believed however much they hold.
+FIRM = set("cookie cookies consent gdpr comment comments commentlist disqus respond reply replies".split())
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)|([^<]+|<)""", re.S
 )
 MARK_ATTR = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: End tags of raw elements, in the source as it stands (lower-casing all of it would shift offsets).
+RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 
 
 def _marked(tag: str, attrs: str, inside_article: bool) -> bool:
-    if tag in DROPPED or (tag == "header" and not inside_article):
-        return True
-    if not attrs:
-        return False
-    if HIDDEN.search(attrs):
-        return True
-    if tag in ("main", "h1", "h2") or tag == "article" and not inside_article:
-        return False
+    """Whether a part is left out whatever its names say: by its tag, or as it is hidden."""
+    return tag in DROPPED or (tag == "header" and not inside_article) or bool(attrs and HIDDEN.search(attrs))
+
+
+def _names(tag: str, attrs: str, inside_article: bool) -> dict[str, bool]:
+    """The names of a part that mark it as no article, and whether each is sure: made of such words alone, or with a firm one."""
+    found: dict[str, bool] = {}
+    if not attrs or tag in ("main", "h1", "h2") or tag == "article" and not inside_article:
+        return found
     for m in MARK_ATTR.finditer(attrs):
-        for name in re.sub(r"([a-z])([A-Z])", r"\1-\2", m[1] or m[2] or m[3] or "").lower().split():
+        value = re.sub(r"([a-z])([A-Z])", r"\1-\2", m[1] or m[2] or m[3] or "").lower()
+        for name in value.split():
             words = re.findall(r"[a-z]+", name)
             # names such as has-sidebar or no-ads speak of another part
             if words and words[0] not in ("has", "with", "no", "is") and any(w in MARKS for w in words):
-                return True
-    return False
+                if m[0][:4].lower() == "aria":  # a label is one name
+                    name, words = value, re.findall(r"[a-z]+", value)
+                found[name] = all(w in MARKS for w in words) or any(w in FIRM for w in words)
+    return found
 
 
 class Page:
-    """The tree of a page as arrays in document order, and its text blocks."""
+    """The tree of a page as arrays in document order, and its text blocks.
 
-    def __init__(self, source: str):
+    Parts with sure names are left out if sure is set, those with other marking names unless all of these are in doubted
+    (None: every one). named has the characters outside links below each doubted name that was met, unlinked those of all
+    that is kept; marked tells whether any name marks a part.
+    """
+
+    def __init__(self, source: str, doubted: set[str] | None = None, sure: bool = True):
         self.tag, self.parent = ["body"], [-1]
         self.own, self.linked = [0], [0]
         self.blocks: list[tuple[int, str]] = []
+        self.named: dict[str, int] = {}
+        self.unlinked, self.marked = 0, False
         open_, dropped, links = [0], 0, 0  # dropped: depth of open_ at which a left-out part began, 0 outside
         buffer: list[str] = []
+        within: dict[int, list[str]] = {}  # by depth of open_: the doubted names that begin there
         owner = 0
 
         def flush() -> None:
@@ -89,6 +106,7 @@ class Page:
             nonlocal dropped, links
             while len(open_) > upto:
                 node = open_.pop()
+                within.pop(len(open_), None)
                 if self.tag[node] == "a":
                     links -= 1
                 elif self.tag[node] not in INLINE:
@@ -105,7 +123,7 @@ class Page:
                     return None
             return None
 
-        at, lower = 0, None
+        at = 0
         while m := TOKEN.match(source, at):
             at = m.end()
             if m[7] is not None:
@@ -118,6 +136,11 @@ class Page:
                     self.own[open_[-1]] += n
                     if links:
                         self.linked[open_[-1]] += n
+                    else:
+                        self.unlinked += n
+                        for names in within.values():
+                            for name in names:
+                                self.named[name] += n
                 continue
             tag = (m[2] or m[5] or "").lower()
             if not tag:
@@ -134,10 +157,9 @@ class Page:
                 continue
             attrs = m[3] or m[6] or ""
             if tag in RAW:
-                lower = lower or source.lower()
-                end = lower.find(f"</{tag}", at)
                 if not attrs.endswith("/") or tag not in ("svg", "math"):
-                    at = len(source) if end < 0 else (source.find(">", end) + 1 or len(source))
+                    end = RAW_END[tag].search(source, at)
+                    at = (source.find(">", end.start()) + 1 or len(source)) if end else len(source)
                 continue
             if tag in ("html", "body"):
                 continue
@@ -152,8 +174,12 @@ class Page:
             if tag not in INLINE:
                 flush()
             inside_article = any(self.tag[n] in ("article", "main") for n in open_)
-            marked = not dropped and _marked(tag, attrs, inside_article)
-            if tag in INLINE and tag != "a" and not marked and not dropped:
+            marked, doubts = not dropped and _marked(tag, attrs, inside_article), []
+            if not dropped and not marked and (names := _names(tag, attrs, inside_article)):
+                self.marked = True
+                marked = any(sure if firm else doubted is not None and name not in doubted for name, firm in names.items())
+                doubts = [] if marked else [name for name, firm in names.items() if not firm]
+            if tag in INLINE and tag != "a" and not marked and not dropped and not doubts:
                 continue  # formatting is no structure: its text is its block's
             node = len(self.tag)
             if not dropped:
@@ -169,6 +195,10 @@ class Page:
                 self.parent.append(-2)
                 self.own.append(0)
                 self.linked.append(0)
+            if doubts:  # text below a name twice counts once
+                held = {name for names in within.values() for name in names}
+                within[len(open_)] = fresh = [name for name in doubts if name not in held]
+                self.named |= {name: self.named.get(name, 0) for name in fresh}
             open_.append(node)
             if tag == "a":
                 links += 1
@@ -241,8 +271,18 @@ class Page:
 
 
 def main_text(source: str | None) -> str:
-    """The main text of one page: blocks in page order joined by two line ends; "" for null or empty pages."""
-    return Page(source).text() if source else ""
+    """The main text of one page: blocks in page order joined by two line ends; "" for null or empty pages.
+
+    Names that are not sure count for nothing if more than half of the text outside links stands below them; no name counts
+    if nothing is left otherwise.
+    """
+    if not source:
+        return ""
+    page = Page(source)
+    doubted = {name for name, n in page.named.items() if 2 * n > page.unlinked}
+    if len(doubted) < len(page.named):
+        page = Page(source, doubted)
+    return page.text() or (Page(source, sure=False).text() if page.marked else "")
 
 
 def extract(pages: DataFrame, keep: list[str] | None = None, source: str = "html") -> DataFrame:

@@ -56,6 +56,32 @@ def test_odd_pages(page, want):
     assert html_text.main_text(page) == want
 
 
+ARTICLE = BODY.replace("Title", "Title, too") + " Words and more words of it follow here.</p>"
+KEPT = WANT.replace("Title", "Title, too") + " Words and more words of it follow here."
+
+
+@pytest.mark.parametrize("mark", ["class='long-form'", "class=legal-news", "class='search-result-text'", "class='elementor-element elementor-widget elementor-widget-text-editor'", "aria-label='Search result text'", "id=form"])
+def test_articles_below_marking_names(mark):
+    assert html_text.main_text(f"<body><nav>Menu</nav><div {mark}>{ARTICLE}</div></body>") == KEPT
+    if mark != "id=form":
+        page = f"<div {mark}>{ARTICLE}</div><div class='sidebar-left'><p>Aside words in a line</p></div><div class=comments>{'<p>I say this and that</p>' * 50}</div><div>End</div>"
+        assert html_text.main_text(page).startswith(KEPT) and not set("Aside I".split()) & set(html_text.main_text(page).split())
+        # an article in several parts of one name
+        parts = "".join(f"<div {mark}><p>Part {i} of an article that goes on for a while.</p></div>" for i in range(9))
+        assert html_text.main_text(f"<div>{parts}</div><div class='site-ads'>Buy now</div>") == "\n\n".join(f"Part {i} of an article that goes on for a while." for i in range(9))
+
+
+@pytest.mark.parametrize("mark", ["comments", "comments-area", "cookie-consent-box", "sidebar"])
+def test_firm_marks_hold_whatever_their_size(mark):
+    assert html_text.main_text(f"<body><div>{BODY}</p></div><div class={mark}>{'<p>I say this and that, at length</p>' * 99}</div></body>") == WANT
+
+
+def test_raw_elements_after_letters_that_grow_in_lower_case():
+    for n in (1, 9, 40):
+        page = f"<p>{'İ' * n}</p><script>var a = 1 > 0;</SCRIPT>Text right <b>after</b> it.<style>p > a {{}}</style><p>More of it.</p>"
+        assert html_text.main_text(page) == f"{'İ' * n}\n\nText right after it.\n\nMore of it."
+
+
 def test_pages_query(spark):
     out = op2_html_extraction(spark, SF)
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
