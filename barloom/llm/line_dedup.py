@@ -33,7 +33,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
 
     def hashed(line: Column) -> Column:
         key = line_key(line)
-        return F.when(F.char_length(key) >= min_chars, F.struct(F.xxhash64(key).alias("a"), F.xxhash64(key, F.lit(1)).alias("b")))
+        # the constant comes first: a column's hash is the seed of the next, so after the key it would tell nothing new
+        return F.when(F.char_length(key) >= min_chars, F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b")))
 
     at = docs.where(F.col(doc_id).isNotNull()).select(
         F.col(doc_id).alias("__id"), F.xxhash64(body).alias("__body"), F.posexplode(F.transform(lines, hashed)).alias("__pos", "__h")

@@ -159,6 +159,13 @@ def test_line_dedup_against_brute_force(spark):
     assert {"pos", "hash", "size", "__id", "n_lines", "n_dropped"} <= set(out.columns)
 
 
+def test_lines_that_share_64_bits_stay(spark):
+    rows = [(1, "one line of text\nsaid by both of them"), (2, "ryugnssg1s b/at/\nsaid by both of them")]
+    df = table(spark, [(i, t, "en", "a") for i, t in rows])
+    assert df.select(F.xxhash64(F.substring("text", 1, 16))).distinct().count() == 1
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()} == slow_dedup(rows) == {1: rows[0][1], 2: "ryugnssg1s b/at/"}
+
+
 def test_line_dedup_odd_tables(spark):
     assert line_dedup.dedup_lines(table(spark, [])).count() == 0
     out = line_dedup.dedup_lines(table(spark, ODD)).collect()
