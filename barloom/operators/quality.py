@@ -65,9 +65,9 @@ def check_text(f: Factor, c: QualityConfig) -> QualityResult:
 
 
 def sample_stats(panel: DataFrame, expressions: dict[str, str], scope: str, c: QualityConfig) -> dict[str, dict[str, Any]]:
-    """n, valid ratio, infinity and spread of each factor on the first rows by symbol and date, in one job."""
-    sample = panel.orderBy("symbol", "trade_date").limit(c.sample_rows)
-    wide = with_expressions(sample, {f"__f{i}": e for i, e in enumerate(expressions.values())}, scope)
+    """n, valid ratio, infinity and spread of each factor on all rows (or c.sample_rows first ones by symbol and date), in one job."""
+    rows = panel if c.sample_rows is None else panel.orderBy("symbol", "trade_date").limit(c.sample_rows)
+    wide = with_expressions(rows, {f"__f{i}": e for i, e in enumerate(expressions.values())}, scope)
     aggs = []
     for i in range(len(expressions)):
         v = F.col(f"__f{i}")

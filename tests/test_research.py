@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.config import Config, PortfolioConfig
+from barloom.config import Config, PortfolioConfig, QualityConfig
 from barloom.library import Factor, Registry, seed_factors
 from barloom.operators import backtest, metrics, quality, scoring
 from barloom.pipeline import PipelineRunner
@@ -145,6 +145,18 @@ def test_gate_on_a_short_panel(spark, synthetic):
     assert got[0].passed and got[0].warnings
 
 
+def test_gate_sees_later_symbols(spark):
+    rows = [(f"s{i:03d}", d, float(i + j % 7 + 1), 1.0 if i < 25 else None, 1e-300 if i == 59 else 1.0) for i in range(60) for j, d in enumerate(DAYS)]
+    panel = spark.createDataFrame(rows, "symbol string, trade_date date, close double, volume double, open double")
+    factors = [Factor("gaps", "gaps", "volume * close", description="missing from symbol 25 on"), Factor("inf", "inf", "close * 1e300 / open", description="infinite in the last symbol"),
+               Factor("fine", "fine", "ts_mean(close, 3)", description="a mean of three")]
+    got = {r.factor_id: r for r in quality.check_all(factors, panel)}
+    assert got["gaps"].stage == got["inf"].stage == "nan_constant" and got["fine"].passed
+    assert got["gaps"].valid_ratio == pytest.approx(25 / 60) and got["inf"].error == "an infinite value"
+    few = quality.check_all(factors[:1], panel, QualityConfig(sample_rows=1000))
+    assert few[0].passed and few[0].valid_ratio == 1.0
+
+
 def test_pipeline(spark, tmp_path):
     c = Config.from_dict({"data": {"train_start": "2022-01-03", "train_end": "2022-04-29", "oos_start": "2022-05-02", "oos_end": "2022-06-30"}, "output_dir": str(tmp_path), "nonsense": 1})
     c.quality.truncation_dates = 2
