@@ -135,10 +135,16 @@ def fingerprint(df: DataFrame, content: bool = False) -> str:
 
 
 def manifest(df: DataFrame, source: str, path: str = "") -> dict[str, Any]:
-    """A snapshot's description: where it came from, the file's SHA-256 (read by Spark), and its profile."""
+    """A snapshot's description: where it came from, the file's SHA-256 (read by Spark; of a folder, that of
+    all its files' SHA-256 by path), and its profile."""
     digest = ""
     if path:
         files = df.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        rows = files.select("path", F.sha2("content", 256).alias("sha")).orderBy("path").limit(10_000).collect()
-        digest = rows[0]["sha"] if len(rows) == 1 else hashlib.sha256("".join(r["sha"] for r in rows).encode()).hexdigest()
+        rows = files.select("path", F.sha2("content", 256).alias("sha")).persist()
+        total, n, first = hashlib.sha256(), 0, ""
+        for r in rows.orderBy("path").toLocalIterator():  # any number of files: the driver holds a partition of them at a time
+            first, n = first or r["sha"], n + 1
+            total.update(r["sha"].encode())
+        rows.unpersist()
+        digest = first if n == 1 else total.hexdigest()
     return {"source": source, "file_path": path, "file_sha256": digest, **profile(df), "data_fingerprint": fingerprint(df)}

@@ -1,4 +1,5 @@
 import datetime
+import hashlib
 
 import pytest
 
@@ -71,6 +72,18 @@ def test_profile_and_manifest(spark, vendor):
     assert len(m["file_sha256"]) == 64 and m["data_fingerprint"] == fingerprint(df) != fingerprint(df, content=True)
 
 
+def test_manifest_covers_every_file(spark, vendor, tmp_path):
+    df = FileSource().load(spark, DataRequest(vendor))
+    parts = tmp_path / "parts"
+    parts.mkdir()
+    for i in range(10_001):
+        (parts / f"part-{i:06d}").write_bytes(b"x")
+    told = lambda: manifest(df, "parts", str(parts))["file_sha256"]
+    assert told() == hashlib.sha256(hashlib.sha256(b"x").hexdigest().encode() * 10_001).hexdigest()
+    (parts / "part-010000").write_bytes(b"y")
+    assert told() == hashlib.sha256(hashlib.sha256(b"x").hexdigest().encode() * 10_000 + hashlib.sha256(b"y").hexdigest().encode()).hexdigest()
+
+
 def test_synthetic_is_sound_and_repeatable(spark):
     req = DataRequest(start_date="2022-01-03", end_date="2022-03-31")
     df = SyntheticSource().load(spark, req)
