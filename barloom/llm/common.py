@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,6 +19,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: The ASCII white space that ends words and is stripped from line keys.
 BLANKS = " \t\n\x0b\x0c\r"
 SLICE_BYTES = 4_000_000
+#: Stretches of an order at most (their bounds, 16 bytes each, pass the driver); beyond, stretches grow.
+MOST_STRETCHES = 65_536
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -66,6 +69,26 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def stretch(keys: DataFrame, size: int) -> Column:
+    """The number of a row's stretch in the order of keys, two long columns (nulls first), for tables that have these columns.
+
+    Stretches have about size rows whatever the values are: their bounds are rows at even steps of the sorted keys. Rows with equal
+    keys share a stretch.
+    """
+    a, b = keys.columns
+    step = max(size, -(-keys.count() // MOST_STRETCHES))
+    order = [F.col(a).asc_nulls_first(), F.col(b).asc_nulls_first()]
+    # in a sorted partition the lower 33 bits of this id count its rows
+    nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = keys.repartitionByRange(*order).sortWithinPartitions(*order).select(a, b, nth.alias("__nth")).where(F.col("__nth") % step == 0).collect()
+    found = sorted({(r[0], r[1]) for r in rows}, key=lambda k: [(x is not None, x or 0) for x in k])
+    bounds = F.from_json(F.lit(json.dumps([{"a": x, "b": y} for x, y in found])), "array<struct<a:long,b:long>>")
+    key = F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    # binary search for the last bound that is not above the key
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(max(1, len(found).bit_length())))])
+    return F.aggregate(steps, F.lit(0), lambda at, n: F.when(F.get(bounds, at + n) <= key, at + n).otherwise(at)).cast("long")
+
+
 def map_texts(df: DataFrame, keep: list[str], text: str, made: str, run: Callable[[list[str | None]], dict[str, Any]]) -> DataFrame:
     """The columns keep as they are, and the columns `made` (a DDL schema) that run computes from each Arrow
     batch of whole texts. Columns that are kept never leave Arrow, so null and large ids stay exact."""

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import ascii_lower, stage
+from barloom.llm.common import ascii_lower, stage, stretch
 
 LOW, HIGH = 5e-4, 0.1
 #: Subsets, and the share (of 32) of the lexicon that each holds.
@@ -105,21 +105,19 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
     Texts move once, to their stretch. The first row of a stretch is also the tail of the one before (of the last
     one, for the first), so that no stretch needs another. Null ids come first; rows that repeat an id follow
-    each other by their texts' hashes. Stretches are even as far as ids are.
+    each other by their texts' hashes. Stretches are even whatever the ids are.
     """
     src = docs.select(F.col(doc_id).cast("long").alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__body"))
-    low, high, n = src.agg(F.min("__id"), F.max("__id"), F.count(F.lit(1))).first()
-    width = 1 if low is None else max(1, -(-(high - low + 1) // max(1, -(-n // STRETCH))))
-    at = F.coalesce(F.floor((F.col("__id") - F.lit(low or 0)) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
-    src = src.withColumn("__at", at)
+    src = src.withColumn("__hash", F.xxhash64("__body"))
+    src = src.withColumn("__at", stretch(src.select("__id", "__hash"), STRETCH))
     # the stretches themselves are a thousandth of the rows
-    starts = src.groupBy("__at").agg(F.min("__id").alias("__first"))
+    starts = src.groupBy("__at").agg(F.min(F.struct("__id", "__hash")).alias("__first"))
     order = Window.orderBy("__at")
     before = F.coalesce(F.lag("__at").over(order), F.last("__at").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     starts = stage(starts.select("__first", F.col("__at").alias("__of"), before.alias("__before")), "starts")
-    tails = src.join(starts, F.col("__id").eqNullSafe(F.col("__first")) & (F.col("__at") == F.col("__of")))
-    rows = src.withColumn("__tail", F.lit(0)).unionByName(tails.select("__id", "__body", F.col("__before").alias("__at"), F.lit(1).alias("__tail")))
-    by = Window.partitionBy("__at").orderBy("__tail", F.col("__id").asc_nulls_first(), F.xxhash64("__body"))
+    tails = src.join(starts, F.col("__id").eqNullSafe(F.col("__first.__id")) & (F.col("__hash") == F.col("__first.__hash")) & (F.col("__at") == F.col("__of")))
+    rows = src.withColumn("__tail", F.lit(0)).unionByName(tails.select("__id", "__body", "__hash", F.col("__before").alias("__at"), F.lit(1).alias("__tail")))
+    by = Window.partitionBy("__at").orderBy("__tail", F.col("__id").asc_nulls_first(), "__hash")
     return rows.select("__at", F.row_number().over(by).alias("__nth"), "__tail", "__id", "__body", F.lead("__body").over(by).alias("__next"))
 
 

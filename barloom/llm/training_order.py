@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import map_texts, stage, stage_path
+from barloom.llm.common import map_texts, stage, stage_path, stretch
 
 LENGTH, ROUNDS = 1024, 8
 #: Slots of a shard: about 1/256 of all, within these bounds.
@@ -93,10 +93,7 @@ def _encoder(path: str, pattern: str) -> tiktoken.Encoding:
 def _layout(counts: DataFrame) -> DataFrame:
     """counts: __id, __body, n. Adds start: the tokens of all documents before. Repeated rows are one document."""
     counts = stage(counts.groupBy("__id", "__body").agg(F.max("n").alias("n")), "counts")
-    low, high, rows = counts.agg(F.min("__id"), F.max("__id"), F.count(F.lit(1))).first()
-    width = 1 if low is None else max(1, -(-(high - low + 1) // max(1, -(-rows // STRETCH))))
-    at = F.coalesce(F.floor((F.col("__id") - F.lit(low or 0)) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
-    counts = counts.withColumn("__at", at)
+    counts = counts.withColumn("__at", stretch(counts.select("__id", "__body"), STRETCH))
     before = F.coalesce(F.sum("m").over(Window.orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = counts.groupBy("__at").agg(F.sum("n").alias("m")).select("__at", before.alias("before"))
     inside = Window.partitionBy("__at").orderBy(F.col("__id").asc_nulls_first(), "__body").rowsBetween(Window.unboundedPreceding, -1)

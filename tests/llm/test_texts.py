@@ -116,6 +116,24 @@ def test_fingerprints_query(spark):
     assert len({next(iter(v)) for v in texts.values()}) >= 0.98 * len(texts)
 
 
+def far_off(spark):
+    """3,000 near ids, one far away, 2,500 rows without an id and 1,500 that share one."""
+    ids = [*range(3000), 2**61, -(2**62), *[None] * 2500, *[77] * 1500]
+    return spark.createDataFrame([(d, f"text {n}") for n, d in enumerate(ids)], "doc_id long, text string")
+
+
+def test_stretches_are_even_on_any_ids(spark):
+    df = far_off(spark)
+    rows = imatch.with_next(df).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r["__at"]] = sizes.get(r["__at"], 0) + 1
+    assert max(sizes.values()) <= imatch.STRETCH + 1
+    hashed = df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    order = [r["text"] for r in sorted(hashed, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"]))]
+    assert {r["__body"]: r["__next"] for r in rows if not r["__tail"]} == dict(zip(order, [*order[1:], order[0]], strict=True))
+
+
 def test_lexicon_is_the_band(spark):
     docs = documents(spark)
     df = {}

@@ -7,8 +7,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from barloom.llm import training_order as to
+from barloom.llm.common import stretch
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SCHEMA = "doc_id long, text string, slot long, shard string"
@@ -62,3 +64,17 @@ def test_empty_table(spark, tmp_path):
     assert run(spark, [], tmp_path / "e", 64) == [] and list(to.read_slots(str(tmp_path / "e"))) == []
     one = run(spark, [(1, "x")], tmp_path / "o", 64)
     assert len(one) == 1 and one[0]["n_tokens"] == 2
+
+
+def test_places_on_any_ids(spark):
+    ids = [*range(3000), 2**61, -(2**62), *[None] * 2500, *[77] * 1500]
+    rows = [(d, n * 7919 % 100_003 - 50_000, n % 5 + 1) for n, d in enumerate(ids)]
+    counts = spark.createDataFrame(rows, "__id long, __body long, n long")
+    got = {(r["__id"], r["__body"]): r["start"] for r in to._layout(counts).collect()}
+    at, want = 0, {}
+    for d, b, n in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        want[d, b] = at
+        at += n
+    assert got == want
+    sizes = counts.groupBy(stretch(counts.select("__id", "__body"), to.STRETCH)).count()
+    assert sizes.agg(F.max("count")).first()[0] <= to.STRETCH
