@@ -43,15 +43,15 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/barloom-{uuid.uuid4().hex}/{name}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back.
+def stage(df: DataFrame, name: str, level: int = 3) -> DataFrame:
+    """Writes df as Parquet (zstd of that level) in the shared folder and reads it back.
 
     This cuts the lineage without depending on any executor staying alive, and lets later
     joins see the true size of the table.
     """
     spark = df.sparkSession
     path = stage_path(spark, name)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -4,6 +4,7 @@ import base64
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -78,3 +79,32 @@ def test_places_on_any_ids(spark):
     assert got == want
     sizes = counts.groupBy(stretch(counts.select("__id", "__body"), to.STRETCH)).count()
     assert sizes.agg(F.max("count")).first()[0] <= to.STRETCH
+
+
+def test_both_ways_to_place_documents(spark, tmp_path, monkeypatch):
+    rows = [(None, "no id"), (7, None)] + [(i % 250, f"document number {i} " * (i % 9)) for i in range(300)]
+    near = run(spark, rows + rows[:9], tmp_path / "a", 64)
+    monkeypatch.setattr(to, "BROADCAST_DOCS", 0)
+    monkeypatch.setattr(to, "CUT_BYTES", 100)
+    monkeypatch.setattr(to, "MOST_PARTITIONS", 2)
+    assert sorted(map(tuple, run(spark, rows, tmp_path / "b", 64))) == sorted(map(tuple, near))
+    assert [x.tolist() for x in to.read_slots(str(tmp_path / "a"))] == [x.tolist() for x in to.read_slots(str(tmp_path / "b"))]
+    assert not [f for f in (tmp_path / "a").iterdir() if f.name.startswith(".") and "crc" not in f.name]
+
+
+def test_missing_pieces_are_an_error(tmp_path):
+    order, b = to.Permutation(3, 1), []
+    for start, n in ((0, 70), (70, 80)):
+        ids = np.arange(n, dtype="<u2").tobytes()
+        b.append(pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([start], pa.int64()), pa.array([ids], pa.binary())], names=["i", "s", "ids"]))
+    for parts, fails in (([0, 1], False), ([0, 1, 1, 0], False), ([0], True), ([1], True)):
+        w = to._ShardWriter(str(tmp_path), 150, 64, 64, "<u2", 9)
+        for p in parts:
+            for r in to._parcels(b[p], order, 64, 64, "<u2").to_pylist():
+                w.add(r["shard"], r["pieces"], r["ids"])
+        if fails:
+            with pytest.raises(RuntimeError):
+                w.finish(order)
+        else:
+            got = w.finish(order).to_pylist()
+            assert [r["n_tokens"] for r in sorted(got, key=lambda r: r["sequence"])] == [64, 64, 22] and all(r["first_doc_id"] is None for r in got)
