@@ -111,9 +111,94 @@ def test_binomial_tail_and_cutoffs():
         q = Fraction(p)
         exact = float(sum(comb(n, i) * q**i * (1 - q) ** (n - i) for i in range(k + 1)))
         assert quality_rules.binomial_cdf(k, n, p) == pytest.approx(exact, rel=1e-9)
-    assert quality_rules.accepted([3, 2, 1], [0, 0, 40], 1000, 0.02, 0.01) == 2
-    assert quality_rules.accepted([3, 2, 1], [30, 0, 0], 1000, 0.02, 0.01) is None  # the first failure ends the walk
-    assert quality_rules.accepted([3], [0], 50, 0.02, 0.01) is None  # too few labels to promise anything
+    assert quality_rules.accepted([0, 0, 40], 1000, 0.02, 0.01) == 2
+    assert quality_rules.accepted([30, 0, 0], 1000, 0.02, 0.01) == 0  # the first failure ends the walk
+    assert quality_rules.accepted([0], 50, 0.02, 0.01) == 0  # too few labels to promise anything
+    least = quality_rules.least_labels(0.02, 0.05)
+    assert quality_rules.accepted([0], least, 0.02, 0.05) == 1 and quality_rules.accepted([0], least - 1, 0.02, 0.05) == 0
+
+
+def slow_judge(rows, labels, tuning, epsilon=quality_rules.EPSILON, delta=quality_rules.DELTA):
+    """Verdicts of (id, text, stratum) by the definitions: every cutoff tried on every document."""
+    label = {}
+    for i, v in labels:
+        if i is not None and v is not None:
+            label[i] = max(v, label.get(i, 0))
+    per = lambda a, b: a / b if b else 0.0
+
+    def profile(t):
+        n, chars, symbols, dup, repeat = slow_profile(t)
+        letters = [c for c in t or "" if c.isalpha()]
+        upper = [c for c in letters if "A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×"]
+        lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+        digits = len(re.findall("[0-9]", t or ""))
+        return n < 50 or 100 * repeat > 50 * n, {
+            "symbol_ratio": per(symbols, n), "upper_ratio": per(len(upper), len(letters)), "exclaim_ratio": per((t or "").count("!"), n),
+            "dup_line_ratio": per(dup, len(lines)), "repeat_ratio": per(repeat, n), "digit_ratio": per(digits, chars),
+        }
+
+    known = [(i, s, *profile(t)) for i, t, s in rows]
+    tune = [(label[i], sc) for i, s, failed, sc in known if i in label and not failed and tuning(i)]
+    good = [sc for v, sc in tune if v == 1]
+    path = {}
+    for rule, grid in quality_rules.GRIDS.items():
+        fine = [j for j, cut in enumerate(grid) if sum(sc[rule] > cut for sc in good) <= epsilon / len(quality_rules.GRIDS) * len(good)]
+        end = max(fine, default=0)
+        path[rule] = [grid[round(end * t / (quality_rules.STEPS - 1))] for t in range(quality_rules.STEPS)]
+    over = lambda sc, t: [r for r in path if sc[r] > path[r][t]]
+    held = {}
+    for i, s, failed, sc in known:
+        if label.get(i) == 1 and not failed and not tuning(i):
+            held.setdefault(s, []).append(sc)
+    held = {s: v for s, v in held.items() if len(v) >= quality_rules.least_labels(epsilon, delta)}
+    steps = {}
+    for s, v in held.items():
+        most = 0
+        while most < quality_rules.STEPS and quality_rules.binomial_cdf(sum(bool(over(sc, most)) for sc in v), len(v), epsilon) <= delta / len(held):
+            most += 1
+        share = lambda y, t: sum(bool(over(sc, t)) for v, sc in tune if v == y) / max(1, sum(v == y for v, _ in tune))
+        gains = [round(share(0, t) - share(1, t), 9) for t in range(most)]
+        best = [t for t, g in enumerate(gains) if g == max(gains)]
+        if best:
+            steps[s] = best[len(best) // 2]
+    return {i: (failed, sorted(over(sc, steps[s])) if s in steps else []) for i, s, failed, sc in known}, steps
+
+
+def test_verdicts_against_brute_force(spark):
+    rnd = random.Random(14)
+
+    def text(kind):
+        words = [f"w{rnd.randint(0, 400)}" if rnd.random() < 0.1 else rnd.choice(["alpha", "Beta", "gamma", "delta", "eps"]) + "abcdefgh"[rnd.randint(0, 7)] * rnd.randint(1, 9) for _ in range(rnd.randint(40, 90))]
+        for j in range(len(words)):
+            if kind == "#" and rnd.random() < 0.4 or rnd.random() < 0.003:
+                words[j] += rnd.choice("#*$")
+            if kind == "A" and rnd.random() < 0.7:
+                words[j] = words[j].upper()
+            if kind == "!" and rnd.random() < 0.5 or rnd.random() < 0.01:
+                words[j] += "!"
+        if kind == "d":
+            words = [w if rnd.random() < 0.5 else str(rnd.randint(0, 10**9)) for w in words]
+        if kind == "r":
+            words[:30] = words[:6] * 5
+        lines = [" ".join(words[j : j + 8]) for j in range(0, len(words), 8)]
+        return "\n".join(lines + lines[:1] * (3 if kind == "l" else 0))
+
+    rows = [(i, text(rnd.choice("..........#A!drl")), ["en", "fr", None, "xx"][0 if i % 2 else (1 if i % 4 else (2 if i % 8 else 3))]) for i in range(1800)]
+    labels = [(i, int(rnd.random() < 0.97 and not re.search("[#*$] .*[#*$] .*[#*$]", t))) for i, t, _ in rows if i % 5] + [(1, None), (2, 0), (2, 1), (None, 1), (99_999, 1)]
+    docs = table(spark, [(i, t, s, "a") for i, t, s in rows])
+    tuned = {r[0] for r in docs.where(F.pmod(F.xxhash64(F.lit("tuning"), F.col("doc_id")), F.lit(quality_rules.TUNING_OF)) == 0).select("doc_id").collect()}
+    want, steps = slow_judge(rows, labels, tuned.__contains__)
+    assert {"en", "fr"} <= set(steps) and "xx" not in steps
+    got = quality_rules.judge(docs, spark.createDataFrame(labels, "doc_id long, label int")).collect()
+    assert {r["doc_id"]: (r["base_failed"], sorted(r["rejected_by"])) for r in got} == want
+    assert all(r["kept"] == (not r["base_failed"] and not r["rejected_by"]) for r in got)
+    assert any(r["rejected_by"] for r in got) and {x for r in got for x in r["rejected_by"]} >= {"symbol_ratio"}
+
+
+def test_many_strata(spark):
+    rows = [(i, f"some words {i} " + "x " * 60, f"junk{i}" if i < 2500 else "en", "a") for i in range(2600)]
+    out = quality_rules.judge(table(spark, rows), spark.createDataFrame([(i, 1) for i in range(2600)], "doc_id long, label int"))
+    assert out.count() == 2600
 
 
 def test_rules_reject_junk_and_keep_good(spark):
