@@ -217,22 +217,82 @@ def test_classifier_on_held_out_labels(spark):
     assert np.mean([g >= 0.3 for g in good]) > 0.95
 
 
-def test_gradients():
+def test_gradients_against_finite_differences():
     rng = np.random.default_rng(0)
-    bags = [rng.normal(size=(n, mil.FEATURES)) for n in (1, 4, 2, 7)]
-    y = np.array([0, 1, 1, 0])
-    m = mil.fit(bags, y)
-    assert ((m.score(bags) > 0.5) == y).all()  # it can learn four bags by heart
-    f = m.forward(np.concatenate(bags), np.array([0, 1, 5, 7]))
-    assert np.allclose(np.add.reduceat(f["a"], [0, 1, 5, 7]), 1)
-    assert len(set(mil.fit(bags, np.ones(4)).score(bags).tolist())) == 1
+    sizes = np.array([1, 4, 2, 7])
+    x, y, starts = rng.normal(size=(14, 9)), np.array([0.0, 1, 1, 0]), np.cumsum(sizes) - sizes
+    m = mil.fit(x, sizes, y)
+    m = mil.Model({k: v + rng.normal(0, 0.3, np.shape(v)) if k in mil.LEARNED else v.astype(float) for k, v in m.p.items()})
+    loss = lambda: -np.mean(y * np.log(f := m.score(x, sizes)) + (1 - y) * np.log(1 - f))
+    for k, g in mil.gradients(m, x, starts, y).items():
+        whole = m.p[k]
+        for at in np.ndindex(np.shape(whole)):
+            ends = []
+            for by in (1e-5, -1e-5):
+                m.p[k] = np.array(whole, float)
+                m.p[k][at] += by
+                ends.append(loss())
+            m.p[k] = whole
+            assert (ends[0] - ends[1]) / 2e-5 == pytest.approx(np.array(g)[at], rel=1e-4, abs=1e-8), (k, at)
+
+
+def test_fit():
+    rng = np.random.default_rng(0)
+    sizes = np.array([1, 4, 2, 7])
+    x, y = rng.normal(size=(14, 9)).astype(np.float32), np.array([0, 1, 1, 0])
+    m = mil.fit(x, sizes, y)
+    assert np.allclose(np.add.reduceat(m.forward(x, np.array([0, 1, 5, 7]))["a"], [0, 1, 5, 7]), 1)
+    assert len(set(mil.fit(x, sizes, np.ones(4)).score(x, sizes).tolist())) == 1
+    # one bad passage of many decides: attention finds it
+    sizes = np.full(300, 9)
+    x = rng.normal(size=(2700, 9)).astype(np.float32)
+    y = np.arange(300) % 2
+    x[np.arange(0, 2700, 18) + rng.integers(0, 9, 150), 3] += 6
+    m = mil.fit(x, sizes, y)
+    assert ((m.score(x, sizes) > 0.5) == y).mean() > 0.95
+
+
+def slow_encode(text):
+    """Passages of one text, word by word."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    words = data.split()
+    rows = []
+    for k in range(0, max(1, len(words)), mil.PASSAGE):
+        row = [0] * (2 * mil.BUCKETS)
+        for w in words[k : k + mil.PASSAGE]:
+            h = sum((b + 1) * int(mil._PLACES[i & 63]) for i, b in enumerate(w)) % 2**64
+            row[(h * 0xD6E8FEB86659FD93) % 2**64 >> 64 - mil.BITS] += 1
+            p = b" " + w + b" "
+            for i in range(len(w)):
+                t = p[i] | p[i + 1] << 8 | p[i + 2] << 16
+                row[mil.BUCKETS + ((t * 0x9E3779B1) % 2**32 >> 32 - mil.BITS)] += 1
+        rows.append([min(255, v) for v in row])
+    return rows
 
 
 def test_passages_cover_the_whole_text():
-    text = "word " * 200
-    assert len(mil.encode(text)) == 4 and len(mil.encode(None)) == len(mil.encode(" \n")) == 1
-    assert np.isclose(mil.encode(text)[:, 12], np.log1p([64, 64, 64, 8]) / 4).all()
-    assert mil.encode(text + "### " * 64)[-1, 0] > mil.encode(text)[-1, 0]
+    rnd = random.Random(8)
+    texts = [None, "", " \n", "word", "word " * 200, "é\tÀB " * 70 + "\n", "x" * 400, *("".join(rnd.choice(["ab ", "c", "É\n", "# ", "\x1c"]) for _ in range(rnd.randint(0, 400))) for _ in range(20)), ""]
+    counted, shares, sizes = mil.encode(texts)
+    want = [slow_encode(t) for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and counted.tolist() == [r for w in want for r in w]
+    alone = [mil.encode([t]) for t in texts]  # a text's passages do not depend on its neighbours
+    assert np.array_equal(np.concatenate([a[1] for a in alone]), shares)
+    assert np.isclose(shares[4:8, 12], np.log1p([64, 64, 64, 8]) / 4).all() and not shares[:3].any()
+    junk = mil.encode(["word " * 200 + "### " * 64])[1]
+    assert junk[-1, 0] > shares[7, 0]
+    assert all(len(x) == 0 for x in mil.encode([]))
+
+
+def test_training_takes_whole_documents_within_the_bound(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(mil, "fit", lambda x, sizes, labels: seen.update(sizes=sizes.tolist(), n=len(x)))
+    docs = table(spark, [(i, "w " * 64 * (i % 7 + 1)) for i in range(40)] + [(3, "w"), (99, "w " * 64 * 500)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, label int")
+    mil.train(docs, labels)
+    assert sorted(seen["sizes"]) == sorted([*(i % 7 + 1 for i in range(40)), 500]) and seen["n"] == sum(seen["sizes"])
+    mil.train(docs, labels, passages=60)
+    assert 54 <= seen["n"] <= 60 and set(seen["sizes"]) <= set(range(1, 8))
 
 
 def test_scores_of_odd_tables(spark):
