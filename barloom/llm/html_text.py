@@ -1,17 +1,18 @@
 """Main text of HTML pages by composite text density.
 
-Markup is read into a tree of nodes. Parts that never hold an article (scripts, styles, menus, forms, adverts and
-the like, by tag or by class name) are left out; a name is not believed where it stands for most of the page's
-text. Every node then has C characters, T tags, LC characters
+Markup is read into one tree of nodes, menus, comments and adverts included. Every node has C characters, T tags, LC characters
 inside links and LT link tags below it; its density is the link-adjusted number of characters per tag,
 
     C / T * log( C / LC * T / LT ) / log( log( C / nLC * LC + LCb / Cb * C + e ) + e - 1 )
 
 with nLC = C - LC and body totals Cb, LCb (zero counts read as 1), or C / T without links. Formatting elements
-count as their block's text. A node's sum is that of its children's densities.
-The node of the largest sum is the core; the least density on the path from the body to it is the threshold.
-The text is the core's, and that of headings and of other nodes that reach the threshold below the same article
-(or body, where there is no article).
+count as their block's text. A node's sum is that of its children's densities. The node of the largest sum is the core; the
+least density on the path from the body to it is the threshold. The text is the core's, and that of headings and of other nodes
+that reach the threshold below the same article (or body, where the core stands in no article).
+
+Tags and class names choose nothing, they only prune: parts that never hold an article (forms, asides, what is hidden, parts
+named as adverts or comments) are cut out of the text chosen, and a core inside such a part yields to the next. A name is not believed
+where it stands for most of the page's text. Reading, densities and pruning are linear in the page.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ DROPPED = set("head nav footer aside form button select option label fieldset di
 INLINE = set(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
+#: What stands in a head; any other element ends it.
+HEAD = set("head meta link base script style title noscript template".split())
 #: Elements that end an open paragraph.
 ENDS_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Elements that end an open one of their own kind.
@@ -80,20 +83,19 @@ def _names(tag: str, attrs: str, inside_article: bool) -> dict[str, bool]:
 class Page:
     """The tree of a page as arrays in document order, and its text blocks.
 
-    Parts with sure names are left out if sure is set, those with other marking names unless all of these are in doubted
-    (None: every one). named has the characters outside links below each doubted name that was met, unlinked those of all
-    that is kept; marked tells whether any name marks a part.
+    hard tells which nodes are no article by tag or as hidden, names has the marking names of others: each with whether it is sure.
     """
 
-    def __init__(self, source: str, doubted: set[str] | None = None, sure: bool = True):
+    def __init__(self, source: str):
         self.tag, self.parent = ["body"], [-1]
         self.own, self.linked = [0], [0]
+        self.hard: set[int] = set()
+        self.names: dict[int, dict[str, bool]] = {}
         self.blocks: list[tuple[int, str]] = []
-        self.named: dict[str, int] = {}
-        self.unlinked, self.marked = 0, False
-        open_, dropped, links = [0], 0, 0  # dropped: depth of open_ at which a left-out part began, 0 outside
+        open_, owners = [0], [0]  # open nodes, and for each the block it stands in
+        depths: dict[str, list[int]] = {}  # of open elements, by tag
+        scopes: list[int] = [0]
         buffer: list[str] = []
-        within: dict[int, list[str]] = {}  # by depth of open_: the doubted names that begin there
         owner = 0
 
         def flush() -> None:
@@ -103,44 +105,32 @@ class Page:
                 buffer.clear()
 
         def close(upto: int) -> None:
-            nonlocal dropped, links
             while len(open_) > upto:
-                node = open_.pop()
-                within.pop(len(open_), None)
-                if self.tag[node] == "a":
-                    links -= 1
-                elif self.tag[node] not in INLINE:
+                tag = self.tag[open_.pop()]
+                owners.pop()
+                depths[tag].pop()
+                if tag in SCOPES:
+                    scopes.pop()
+                if tag not in INLINE:
                     flush()
-                if dropped and len(open_) < dropped:
-                    dropped = 0
 
         def find(names: set[str]) -> int | None:
-            for depth in range(len(open_) - 1, 0, -1):
-                t = self.tag[open_[depth]]
-                if t in names:
-                    return depth
-                if t in SCOPES:
-                    return None
-            return None
+            """The depth of the innermost open element of these, if no scope has begun since."""
+            depth = max((depths[t][-1] for t in names if depths.get(t)), default=0)
+            return depth if depth and depth >= scopes[-1] else None
 
         at = 0
         while m := TOKEN.match(source, at):
             at = m.end()
             if m[7] is not None:
-                if not dropped:
-                    text = html.unescape(m[7]) if "&" in m[7] else m[7]
-                    if not buffer:
-                        owner = next(n for n in reversed(open_) if self.tag[n] not in INLINE)
-                    buffer.append(text)
-                    n = sum(map(len, text.split()))
-                    self.own[open_[-1]] += n
-                    if links:
-                        self.linked[open_[-1]] += n
-                    else:
-                        self.unlinked += n
-                        for names in within.values():
-                            for name in names:
-                                self.named[name] += n
+                text = html.unescape(m[7]) if "&" in m[7] else m[7]
+                if not buffer:
+                    owner = owners[-1]
+                buffer.append(text)
+                n = sum(map(len, text.split()))
+                self.own[open_[-1]] += n
+                if depths.get("a"):
+                    self.linked[open_[-1]] += n
                 continue
             tag = (m[2] or m[5] or "").lower()
             if not tag:
@@ -148,10 +138,8 @@ class Page:
             if m[1] or m[4]:
                 if tag == "p" and find({"p"}) is None:
                     flush()
-                    continue
-                depth = next((d for d in range(len(open_) - 1, 0, -1) if self.tag[open_[d]] == tag), None)
-                if depth is not None:
-                    close(depth)
+                elif depths.get(tag):
+                    close(depths[tag][-1])
                 elif tag not in INLINE:
                     flush()
                 continue
@@ -161,6 +149,8 @@ class Page:
                     end = RAW_END[tag].search(source, at)
                     at = (source.find(">", end.start()) + 1 or len(source)) if end else len(source)
                 continue
+            if depths.get("head") and tag not in HEAD:
+                close(depths["head"][0])
             if tag in ("html", "body"):
                 continue
             if tag in ENDS_P and (depth := find({"p"})) is not None:
@@ -173,123 +163,131 @@ class Page:
                 buffer.append(" ") if buffer else None
             if tag not in INLINE:
                 flush()
-            inside_article = any(self.tag[n] in ("article", "main") for n in open_)
-            marked, doubts = not dropped and _marked(tag, attrs, inside_article), []
-            if not dropped and not marked and (names := _names(tag, attrs, inside_article)):
-                self.marked = True
-                marked = any(sure if firm else doubted is not None and name not in doubted for name, firm in names.items())
-                doubts = [] if marked else [name for name, firm in names.items() if not firm]
-            if tag in INLINE and tag != "a" and not marked and not dropped and not doubts:
+            inside_article = bool(depths.get("article") or depths.get("main"))
+            hard = _marked(tag, attrs, inside_article)
+            names = {} if hard else _names(tag, attrs, inside_article)
+            if tag in INLINE and tag != "a" and not hard and not names:
                 continue  # formatting is no structure: its text is its block's
+            if tag in INLINE and (hard or names):
+                flush()  # what may be cut out is a block of its own
             node = len(self.tag)
-            if not dropped:
-                self.tag.append(tag)
-                self.parent.append(open_[-1])
-                self.own.append(0)
-                self.linked.append(0)
+            self.tag.append(tag)
+            self.parent.append(open_[-1])
+            self.own.append(0)
+            self.linked.append(0)
+            if hard:
+                self.hard.add(node)
+            if names:
+                self.names[node] = names
             if tag in VOID or attrs.endswith("/") and tag not in ("p", "div", "a"):
                 continue
-            if dropped:
-                # only the nesting matters here
-                self.tag.append(tag)
-                self.parent.append(-2)
-                self.own.append(0)
-                self.linked.append(0)
-            if doubts:  # text below a name twice counts once
-                held = {name for names in within.values() for name in names}
-                within[len(open_)] = fresh = [name for name in doubts if name not in held]
-                self.named |= {name: self.named.get(name, 0) for name in fresh}
+            depths.setdefault(tag, []).append(len(open_))
+            if tag in SCOPES:
+                scopes.append(len(open_))
+            owners.append(node if tag not in INLINE or hard or names else owners[-1])
             open_.append(node)
-            if tag == "a":
-                links += 1
-            if marked:
-                dropped = len(open_)
         close(1)
         flush()
+        self._count()
 
-    def text(self) -> str:
+    def _count(self) -> None:
+        """Characters and tags below each node, densities and sums of the whole tree."""
         n = len(self.tag)
-        chars, linked, tags, link_tags = self.own[:], self.linked[:], [0] * n, [0] * n
+        self.chars, self.link_chars, tags, link_tags = self.own[:], self.linked[:], [0] * n, [0] * n
         for i in range(n - 1, 0, -1):
-            if (p := self.parent[i]) >= 0:
-                chars[p] += chars[i]
-                linked[p] += linked[i]
-                tags[p] += tags[i] + 1
-                link_tags[p] += link_tags[i] + (self.tag[i] == "a")
-        if not chars[0]:
-            return ""
-        ratio = linked[0] / chars[0]
+            p = self.parent[i]
+            self.chars[p] += self.chars[i]
+            self.link_chars[p] += self.link_chars[i]
+            tags[p] += tags[i] + 1
+            link_tags[p] += link_tags[i] + (self.tag[i] == "a")
+        ratio = self.link_chars[0] / (self.chars[0] or 1)
 
         def density(i: int) -> float:
-            c = chars[i]
+            c, lc = self.chars[i], self.link_chars[i]
             if not c:
                 return 0.0
-            if not linked[i]:
+            if not lc:
                 return c / (tags[i] or 1)  # both logarithms cancel without links
             t, lt = tags[i] or 1, link_tags[i] or 1
-            inner = c / max(1, c - linked[i]) * linked[i] + ratio * c + math.e
-            return c / t * max(0.0, math.log(c / linked[i] * t / lt)) / math.log(math.log(inner) + math.e - 1)
+            inner = c / max(1, c - lc) * lc + ratio * c + math.e
+            return c / t * max(0.0, math.log(c / lc * t / lt)) / math.log(math.log(inner) + math.e - 1)
 
-        densities = [density(i) if self.parent[i] >= -1 else 0.0 for i in range(n)]
-        sums = [0.0] * n
+        self.densities = [density(i) for i in range(n)]
+        self.sums = [0.0] * n
         for i in range(1, n):
-            if self.parent[i] >= 0:
-                sums[self.parent[i]] += densities[i]
-        roots = [i for i in range(n) if self.tag[i] in ("article", "main") and chars[i] and not self._under(i, ("article",))]
-        scope = max(roots, key=lambda i: chars[i], default=0) if roots else 0
-        inside = [False] * n
-        inside[scope] = True
-        for i in range(scope + 1, n):
-            inside[i] = self.parent[i] >= 0 and inside[self.parent[i]]
-        core = max((i for i in range(n) if inside[i]), key=lambda i: (sums[i], -i))
-        if not sums[core]:
-            core = scope
-        path, threshold = core, densities[core]
-        while path != scope and path > 0:
-            path = self.parent[path]
-            threshold = min(threshold, densities[path])
-        taken = [False] * n
-        for i in range(n):
-            if inside[i] and self.tag[i] not in INLINE:
-                up = self.parent[i] if self.parent[i] >= 0 else None
-                taken[i] = i == core or (up is not None and inside[up] and taken[up]) or (
-                    i != scope and not self._above(i, core) and (densities[i] >= threshold or self.tag[i] in HEADINGS and not linked[i])
+            self.sums[self.parent[i]] += self.densities[i]
+
+    def _cut(self, marks: set[int]) -> list[bool]:
+        """Which nodes lie in a marked part."""
+        cut = [False] * len(self.tag)
+        for i in range(1, len(cut)):
+            cut[i] = i in marks or cut[self.parent[i]]
+        return cut
+
+    def marks(self) -> set[int]:
+        """Nodes to prune: hard ones, those with sure names, and those with other names unless all of these are in doubt, as more than
+        half of the text outside links stands below each."""
+        sure = self.hard | {i for i, names in self.names.items() if any(names.values())}
+        cut = self._cut(sure)
+        plain = [0 if cut[i] else self.own[i] - self.linked[i] for i in range(len(cut))]
+        for i in range(len(plain) - 1, 0, -1):
+            plain[self.parent[i]] += plain[i]
+        held: dict[str, int] = {}
+        upto: dict[str, int] = {}  # the last node below the outermost one of a name
+        for i, names in self.names.items():
+            for name in names:
+                if not cut[i] and i > upto.get(name, 0):  # text below a name twice counts once
+                    held[name] = held.get(name, 0) + plain[i]
+                    upto[name] = self._last(i)
+        return sure | {i for i, names in self.names.items() if any(2 * held.get(name, 0) <= plain[0] for name in names)}
+
+    def _last(self, i: int) -> int:
+        if not hasattr(self, "_lasts"):
+            self._lasts = list(range(len(self.tag)))
+            for j in range(len(self.tag) - 1, 0, -1):
+                self._lasts[self.parent[j]] = max(self._lasts[self.parent[j]], self._lasts[j])
+        return self._lasts[i]
+
+    def text(self, marks: set[int]) -> str:
+        """What density chooses, without the parts below marks."""
+        n, cut = len(self.tag), self._cut(marks)
+        core = max((i for i in range(n) if not cut[i]), key=lambda i: (self.sums[i], -i))
+        scope, threshold, path, up = 0, self.densities[core], {core}, core
+        while up > 0:
+            if not scope and self.tag[up] in ("article", "main"):
+                scope = up
+            up = self.parent[up]
+            path.add(up)
+            threshold = min(threshold, self.densities[up])
+        inside, taken = [False] * n, [False] * n
+        for i in range(scope, n):
+            inside[i] = i == scope or inside[self.parent[i]]
+            if inside[i] and (i in self.hard or i in self.names or self.tag[i] not in INLINE):
+                taken[i] = i == core or (i != scope and taken[self.parent[i]]) or (
+                    i != scope and i not in path and (self.densities[i] >= threshold or self.tag[i] in HEADINGS and not self.link_chars[i])
                 )
-        return "\n\n".join(t for owner, t in self.blocks if taken[owner] or owner == scope)
-
-    def _under(self, i: int, names: tuple[str, ...]) -> bool:
-        while (i := self.parent[i]) > 0:
-            if self.tag[i] in names:
-                return True
-        return False
-
-    def _above(self, i: int, core: int) -> bool:
-        """Whether core lies below i."""
-        while core > i:
-            core = self.parent[core]
-        return core == i
+            elif i != scope and inside[i]:
+                taken[i] = taken[self.parent[i]]
+        return "\n\n".join(t for owner, t in self.blocks if not cut[owner] and (taken[owner] or owner == scope))
 
 
 def main_text(source: str | None) -> str:
     """The main text of one page: blocks in page order joined by two line ends; "" for null or empty pages.
 
-    Names that are not sure count for nothing if more than half of the text outside links stands below them; no name counts
-    if nothing is left otherwise.
+    Class names count for nothing if no text is left otherwise.
     """
     if not source:
         return ""
     page = Page(source)
-    doubted = {name for name, n in page.named.items() if 2 * n > page.unlinked}
-    if len(doubted) < len(page.named):
-        page = Page(source, doubted)
-    return page.text() or (Page(source, sure=False).text() if page.marked else "")
+    return page.text(page.marks()) or (page.text(page.hard) if page.names else "")
 
 
 def extract(pages: DataFrame, keep: list[str] | None = None, source: str = "html") -> DataFrame:
     """The columns keep (default: page_id, url) of every row, text and n_chars (code points).
 
     Null, empty or text-free pages give an empty text. Rows are independent: ties, repeats and null keys
-    each get their row, and columns of other names don't matter.
+    each get their row, and columns of other names don't matter. Long and deeply nested pages are read whole, in linear time; an empty table
+    gives no rows.
     """
 
     def run(them: list[str | None]) -> dict[str, pa.Array]:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -82,6 +83,75 @@ def test_raw_elements_after_letters_that_grow_in_lower_case():
         assert html_text.main_text(page) == f"{'İ' * n}\n\nText right after it.\n\nMore of it."
 
 
+def test_densities_against_the_definition():
+    rnd = random.Random(5)
+
+    def grow(depth):
+        """A random tree: (tag, parts), each part a text or a tree."""
+        parts = [rnd.choice(["", "x" * rnd.randint(1, 90), "some words here"]) if rnd.random() < 0.5 or depth > 4 else grow(depth + 1) for _ in range(rnd.randint(0, 5))]
+        return (rnd.choice(["div", "div", "section", "blockquote"]) if rnd.random() < 0.7 or depth < 1 else "a", parts)
+
+    def show(t):
+        return t if isinstance(t, str) else f"<{t[0]}>{''.join(map(show, t[1]))}</{t[0]}>"
+
+    def no_nested_links(t, inside=False):
+        return isinstance(t, str) or (not (inside and t[0] == "a") and all(no_nested_links(x, inside or t[0] == "a") for x in t[1]))
+
+    def counts(t, inside=False):
+        """C, T, LC, LT below a node."""
+        c = tags = lc = lt = 0
+        for x in t[1]:
+            if isinstance(x, str):
+                c += len(x.replace(" ", ""))
+                lc += len(x.replace(" ", "")) * (inside or t[0] == "a")
+            else:
+                d = counts(x, inside or t[0] == "a")
+                c, tags, lc, lt = c + d[0], tags + d[1] + 1, lc + d[2], lt + d[3] + (x[0] == "a")
+        return c, tags, lc, lt
+
+    def density(t, body, inside=False):
+        c, tags, lc, lt = counts(t, inside)
+        if not c:
+            return 0.0
+        if not lc:
+            return c / max(1, tags)
+        inner = np.log(c / max(1, c - lc) * lc + body[2] / body[0] * c + np.e)
+        return c / max(1, tags) * max(0.0, np.log(c / lc * max(1, tags) / max(1, lt))) / np.log(inner + np.e - 1)
+
+    def walk(t, inside=False):
+        yield t, inside
+        for x in t[1]:
+            if not isinstance(x, str):
+                yield from walk(x, inside or t[0] == "a")
+
+    done = 0
+    while done < 60:
+        body = ("body", [grow(0) for _ in range(3)])
+        if not no_nested_links(body):
+            continue
+        done += 1
+        page, whole = html_text.Page("".join(map(show, body[1]))), counts(body)
+        nodes = list(walk(body))
+        assert page.tag == [t[0] for t, _ in nodes]
+        assert page.densities == pytest.approx([density(t, whole, i) for t, i in nodes])
+        assert page.sums == pytest.approx([sum(density(x, whole, i or t[0] == "a") for x in t[1] if not isinstance(x, str)) for t, i in nodes])
+
+
+def test_density_chooses_without_names_and_articles(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    want = [html_text.main_text(p) for p in pages]
+    assert np.mean([html_text.Page(p).text(set()) == w for p, w in zip(pages, want, strict=True)]) > 0.9
+    plain = [p.replace("<article", "<div").replace("</article", "</div").replace("<main", "<div").replace("</main", "</div") for p in pages]
+    assert np.mean([html_text.main_text(p) == w for p, w in zip(plain, want, strict=True)]) > 0.95
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<span class='x-ad y'>", "<center><hr>", "<p><td><center><hr>", "<ul><li>", "</div><div>", "<a href=x><div class=widget-a>"])
+def test_deep_pages_take_linear_time(unit):
+    began = time.process_time()
+    assert html_text.main_text(unit * 32_000 + "deep").endswith("deep")
+    assert time.process_time() - began < 6
+
+
 def test_pages_query(spark):
     out = op2_html_extraction(spark, SF)
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
