@@ -2,10 +2,12 @@
 
 A document's terms are its distinct words (A-Z lower-cased). Terms that stand in at least LOW and at most HIGH of
 all documents form the lexicon: rarer ones (slips, names of one document) and very common ones say little
-about sameness. The kept terms are sorted and hashed once for each of SUBSETS random subsets of the lexicon, of
-which a term belongs to each with the same chance, by bits of its hash. A fingerprint is the list of these hashes; the
-likeness of two is the share of places in which they agree. A small edit outside most subsets leaves most hashes
-as they were; other texts agree nowhere.
+about sameness. The kept terms are sorted and hashed once for each of several random subsets of the lexicon, which bits of a term's hash
+decide. Subsets come in LEVELS of falling size, each a part of one a level above: 4 of a quarter of the lexicon, then 16 each of a
+16th, a 64th, a 256th and a 1024th. A fingerprint is the list of these hashes, null for subsets that hold none of a document's terms. The
+likeness of two is the share of subsets that agree among those that hold a term of either, at the finest level where at least half
+of the subsets do: there a subset holds a term or two of either text, so that an edit of half a text leaves some subsets as they
+were, for short and long texts alike, while other texts hardly agree anywhere.
 
 The lexicon has at most (mean distinct terms of a document) / LOW terms whatever the number of documents; it is
 broadcast behind a check of its size and joined by shuffle beyond it.
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 from barloom.llm.common import ascii_lower, stage, stretch
 
 LOW, HIGH = 5e-4, 0.1
-#: Subsets, and the share (of 32) of the lexicon that each holds.
-SUBSETS, OF_32 = 10, 24
+#: Subsets of each level, largest first; each level's are a quarter of those above.
+LEVELS = [4, 16, 16, 16, 16]
 #: The lexicon is broadcast up to so many terms (about 32 bytes each in memory).
 BROADCAST_TERMS = 1_000_000
 #: Rows of one stretch of ids, within which a document finds the next.
@@ -41,30 +43,56 @@ def lexicon(docs: DataFrame, text: str = "text", low: float = LOW, high: float =
     return stage(found.where((F.col("df") >= max(1, low * total)) & (F.col("df") <= max(1, high * total))).select("term"), "lexicon")
 
 
-def hashes(kept: Column, text_hash: Column) -> Column:
-    """array<long> of SUBSETS hashes of sorted kept terms. A subset without terms gives a hash of the whole text,
-    so that texts without any lexicon term equal only themselves."""
-
-    def one(k: int) -> Column:
-        part = F.filter(kept, lambda h: F.shiftrightunsigned(h, 5 * k).bitwiseAND(31) < OF_32)
-        return F.when(F.size(part) > 0, F.xxhash64(F.lit(k), part)).otherwise(F.xxhash64(F.lit(-1 - k), text_hash))
-
-    return F.array(*[one(k) for k in range(SUBSETS)])
+def with_hashes(df: DataFrame, arrays: dict[str, tuple[Column, str]]) -> DataFrame:
+    """Adds, for each column of sorted kept terms, its fingerprint (array<long>): arrays has a hash of the whole text and the name to
+    give. Texts without any lexicon term equal only themselves: the first place has the whole text's hash then, and null otherwise."""
+
+    def bits(level: int, value: int):
+        return lambda h: F.shiftrightunsigned(h, 2 * level).bitwiseAND(3) == value
+
+    # one column a level: Spark computes each once, as the next level and the hashes both refer to it
+    names = {c: [f"__{i}_{n}" for n in range(len(LEVELS))] for i, c in enumerate(arrays)}
+    for n in range(len(LEVELS)):
+        split = lambda a: F.array(*[F.filter(a, bits(n, v)) for v in range(4)])  # noqa: B023, E731
+        step = {}
+        for c, made in names.items():
+            if n == 0:
+                step[made[n]] = split(F.col(c))
+            elif LEVELS[n] == 4 * LEVELS[n - 1]:
+                step[made[n]] = F.flatten(F.transform(F.col(made[n - 1]), split))
+            else:
+                step[made[n]] = F.transform(F.col(made[n - 1]), lambda a: F.filter(a, bits(n, 0)))  # noqa: B023
+        df = df.withColumns(step)
+    for c, (whole, out) in arrays.items():
+        first = F.array(F.when(F.size(c) == 0, whole))
+        df = df.withColumn(out, F.concat(first, F.transform(F.concat(*names[c]), lambda a: F.when(F.size(a) > 0, F.xxhash64(a)))))
+    return df.drop(*[x for made in names.values() for x in made])
 
 
 def rendered(fp: Column) -> Column:
-    return F.array_join(F.transform(fp, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "-")
+    """Hexadecimal digits of all hashes (their lower halves), joined by "-"; nothing stands for null."""
+    return F.array_join(F.transform(fp, lambda h: F.coalesce(F.lpad(F.lower(F.hex(h.bitwiseAND(0xFFFFFFFF))), 8, "0"), F.lit(""))), "-")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    same = F.zip_with(a, b, lambda x, y: (x == y).cast("int"))
-    return F.aggregate(same, F.lit(0), lambda s, x: s + x) / F.lit(float(SUBSETS))
+    """0 to 1. Texts without lexicon terms are alike if they are equal."""
+    both = F.zip_with(a, b, lambda x, y: F.when(x.isNull() & y.isNull(), 0).when(x.eqNullSafe(y), 2).otherwise(1))
+    out, at = F.when(F.get(a, F.lit(0)).isNotNull() | F.get(b, F.lit(0)).isNotNull(), F.get(a, F.lit(0)).eqNullSafe(F.get(b, F.lit(0))).cast("double")), 2
+    levels = []
+    for n in LEVELS:
+        levels.append((n, F.slice(both, at, n)))
+        at += n
+    count = lambda part, least: F.size(F.filter(part, lambda x: x >= least))
+    for n, part in reversed(levels):
+        out = out.when(2 * count(part, 1) >= (n if n != LEVELS[0] else 0), count(part, 2) / F.greatest(count(part, 1), F.lit(1)))
+    return out
 
 
 def fingerprints(docs: DataFrame, lex: DataFrame | None = None, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """The columns keep (default: doc_id) of every row and fingerprint (array<long>). Equal texts have equal ones.
 
-    Null texts count as empty. Rows are independent: null ids, ties and repeats each get their fingerprint.
+    Null texts count as empty; long texts are read whole. Rows are independent: null ids, ties and repeats each get their fingerprint. Columns that
+    are not in keep are not read, whatever their names; an empty table gives no rows.
     """
     keep = keep or ["doc_id"]
     lex = lexicon(docs, text) if lex is None else lex
@@ -72,7 +100,8 @@ def fingerprints(docs: DataFrame, lex: DataFrame | None = None, keep: list[str]
     head = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.xxhash64(body).alias("whole"))
     rows = docs.select(F.monotonically_increasing_id().alias("__row"), head.alias("__head"), terms(body).alias("__terms"))
     got = _kept(rows, ["__row"], {"__terms": "__kept"}, lex)
-    return got.select(*[F.col(f"__head.k{i}").alias(c) for i, c in enumerate(keep)], hashes(F.col("__kept"), F.col("__head.whole")).alias("fingerprint"))
+    got = with_hashes(got, {"__kept": (F.col("__head.whole"), "__fp")})
+    return got.select(*[F.col(f"__head.k{i}").alias(c) for i, c in enumerate(keep)], F.col("__fp").alias("fingerprint"))
 
 
 def _kept(rows: DataFrame, key: list[str], arrays: dict[str, str], lex: DataFrame) -> DataFrame:
@@ -129,7 +158,12 @@ def edited(body: Column, following: Column) -> Column:
 
 
 def compare_with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fingerprints of every text and of its edited form, with their likeness and that to the next document's."""
+    """Fingerprints of every text and of its edited form, with their likeness and that to the next document's.
+
+    The next document is that of the next greater id, after the last the first. doc_id holds whole numbers, or text of such; other text is an
+    error. Null ids come first, and rows that share an id (or have none) follow each other by a hash of their texts; every row gets a row. Null
+    texts count as empty; long texts are read whole. A table of one row is its own next; an empty one gives no rows. Other columns are not read.
+    """
     lex = lexicon(docs, text)
     rows = with_next(docs, doc_id, text)
     changed = edited(F.col("__body"), F.col("__next"))
@@ -140,9 +174,7 @@ def compare_with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     )
     both = rows.select("__at", "__nth", head.alias("__head"), terms(F.col("__body")).alias("__terms"), F.when(real, terms(changed)).otherwise(F.array().cast("array<long>")).alias("__others"))
     got = _kept(both, ["__at", "__nth"], {"__terms": "__kept", "__others": "__changed"}, lex)
-    got = got.select(
-        "__at", "__nth", "__head", hashes(F.col("__kept"), F.col("__head.whole")).alias("fp"), hashes(F.col("__changed"), F.col("__head.changed")).alias("edited_fp")
-    )
+    got = with_hashes(got, {"__kept": (F.col("__head.whole"), "fp"), "__changed": (F.col("__head.changed"), "edited_fp")}).select("__at", "__nth", "__head", "fp", "edited_fp")
     following = F.lead("fp").over(Window.partitionBy("__at").orderBy("__nth"))
     out = got.withColumn("next_fp", following).where("__head.__tail = 0")
     return out.select(
