@@ -13,8 +13,10 @@ represented by the pivot in all lists, so that a group of n near copies costs n
 not n * n. Lists then hold owners, not sets. When two owners come up as candidates, they are compared first; if they
 link, their clusters are connected and nothing else is needed. If not, the answers of an absorbed set x
 follow from its pivot's: |x ^ y| >= |p ^ q| - |x ^ p| - |y ^ q| rules out most members without reading their sets,
-and the rest are compared exactly. So no link between different texts is lost, while links within a cluster
-are never listed.
+and the rest are compared exactly, in rounds of growing parts of both clusters: once a link between two clusters is found, they
+are connected and need no more. So no component is lost, while links within a cluster are never listed.
+
+A pivot of many near copies is a hot key: pairs of a set that has more than PAIRS_A_TASK of them are dealt to several copies of it.
 
 The rare-first order comes from counters of tokens that repeat within chunks of a task, hashed into
 2**SKETCH_BITS buckets, over all documents. Any order gives the same links; this one only makes lists short.
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,10 +40,12 @@ from barloom.llm.components import components
 from barloom.llm.shingles import set_digest, shingle_set
 
 SKETCH_BITS, BLOCK_BITS = 22, 16
-#: Tokens that a task sorts at once to find repeated ones (32 MB).
-CHUNK = 4_000_000
+#: Tokens that a task sorts at once to find repeated ones (8 MB).
+CHUNK = 1_000_000
 #: Ids of sets to compare are broadcast up to so many (about 16 bytes each), and joined by shuffle beyond.
 BROADCAST_IDS = 2_000_000
+#: Pairs of one set that meet in a task, about; members of each of two clusters that are compared first, and the growth of that part.
+PAIRS_A_TASK, FIRST_MEMBERS, GROWTH = 250, 64, 8
 
 
 def join_groups(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -50,7 +55,9 @@ def join_groups(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "d
     lower-cased; a text of fewer words is one shingle). component_id is the smallest doc_id reachable by links,
     the document itself included. Null texts and texts without words have an empty set and link with nothing.
     Rows with a null doc_id keep a null component and link with nothing. Rows that repeat a doc_id are one
-    document: they share a component whatever their texts.
+    document: they share a component whatever their texts. doc_id holds whole numbers, or text of such; other text is an error.
+    Ties at the threshold link. Long texts are compared by their whole sets. Columns other than these two are not read, whatever
+    their names; an empty table gives no rows.
     """
     src = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("body"))
     signed = stage(_signatures(src, k), "signatures")
@@ -114,32 +121,41 @@ def _signatures(src: DataFrame, k: int) -> DataFrame:
 
 def _token_order(counters: DataFrame) -> bytes:
     """A byte for each bucket of tokens: 0 for rare, more for more frequent. Its size is fixed."""
-    schema = "block int, counts binary"
-
-    def total(pdf: pd.DataFrame) -> np.ndarray:
-        out = np.zeros(1 << BLOCK_BITS, np.uint64)
-        for c in pdf["counts"]:
-            raw = zlib.decompress(c)
-            out += np.frombuffer(raw, np.uint32 if len(raw) == 4 << BLOCK_BITS else np.uint64)
-        return out
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "counts": [zlib.compress(total(pdf).tobytes(), 1)]})
-
-    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.minimum(255, np.ceil(4 * np.log2(1 + total(pdf).astype(float)))).astype(np.uint8)
-        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "counts": [out.tobytes()]})
-
-    # a block's counters meet in two steps, so that no task reads those of all tasks
+    # a block's counters meet in two steps, so that no task reads those of all tasks; each task adds them up as they come
     part = counters.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(32)))
-    merged = part.groupBy("block", "part").applyInPandas(merge, schema)
-    ranked = merged.groupBy("block").applyInPandas(rank, schema).collect()
+    ranked = _added(_added(part, ["block", "part"]), ["block"], ranked=True).collect()
     order = bytearray(1 << SKETCH_BITS)
     for r in ranked:
         order[r["block"] << BLOCK_BITS : (r["block"] + 1) << BLOCK_BITS] = r["counts"]
     return bytes(order)
 
 
+def _added(counters: DataFrame, keys: list[str], ranked: bool = False) -> DataFrame:
+    """The sum of the counters of each key, or the bytes of its ranks. A task holds one sum at a time."""
+
+    def pack(total: np.ndarray) -> bytes:
+        if ranked:
+            return np.minimum(255, np.ceil(4 * np.log2(1 + total.astype(float)))).astype(np.uint8).tobytes()
+        return zlib.compress(total.tobytes(), 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = None, None
+        out = lambda: pa.RecordBatch.from_arrays([*(pa.array([k], pa.int32()) for k in key), pa.array([pack(total)], pa.binary())], names=[*keys, "counts"])
+        for b in batches:
+            for *of, c in zip(*(b.column(x) for x in (*keys, "counts")), strict=True):
+                of, raw = [x.as_py() for x in of], zlib.decompress(c.as_py())
+                if of != key:
+                    if key is not None:
+                        yield out()
+                    key, total = of, np.zeros(1 << BLOCK_BITS, np.uint64)
+                total += np.frombuffer(raw, np.uint32 if len(raw) == 4 << BLOCK_BITS else np.uint64)
+        if key is not None:
+            yield out()
+
+    dealt = counters.select(*keys, "counts").repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(run, ", ".join(f"{k} int" for k in keys) + ", counts binary")
+
+
 def _prefix_size(n: int, percent: int) -> int:
     return n + percent * n // -100 + 1  # n - ceil(percent * n / 100) + 1
 
@@ -213,22 +229,76 @@ def _links(src: DataFrame, classes: DataFrame, order: bytes, k: int, percent: in
     pairs = pairs.join(first.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
     # two single sets also need enough common prefix tokens; clusters are compared in any case
     heads = owners.select(F.col("owner").alias("h"), F.lit(True).alias("is_head")).distinct()
-    pairs = stage(_filtered(pairs, small, percent, heads), "pairs")
-    second = stage(_verified(src, pairs, k, percent), "second")
+    second = stage(_verified(src, _filtered(pairs, small, percent, heads), k, percent), "second")
 
     # clusters whose owners do not link: members that the triangle inequality cannot rule out
     known = second.unionByName(first.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "apart", "linked")).where("not linked")
     clustered = known.join(heads, F.col("x") == F.col("h"), "left_semi").unionByName(known.join(heads, F.col("y") == F.col("h"), "left_semi")).distinct()
-    members = stage(small.join(owners, "doc", "left").select(F.coalesce("owner", "doc").alias("owner"), "doc", F.coalesce("away", F.lit(0)).alias("away"), "n"), "members")
-    one, two = (members.select(*[F.col(v).alias(f"{c}_{v}") for v in members.columns]) for c in "xy")
-    most = F.col("x_n") + F.col("y_n") - 2 * _overlap(F.col("x_n"), F.col("y_n"), percent)
-    near = F.col("apart") - F.col("x_away") - F.col("y_away") <= most
-    rest = stage(clustered.select("x", "y", "apart"), "clustered").join(one, F.col("x") == F.col("x_owner")).join(two, (F.col("y") == F.col("y_owner")) & near)
-    rest = rest.where("x_doc <> x or y_doc <> y").select(F.col("x_doc").alias("x"), F.col("y_doc").alias("y")).distinct()
-    rest = _filtered(rest, small, percent)
-    third = _verified(src, rest, k, percent)
+    clustered = stage(clustered.select("x", "y", "apart"), "clustered")
+    members = small.join(owners, "doc", "left").select(F.coalesce("owner", "doc").alias("owner"), "doc", F.coalesce("away", F.lit(0)).alias("away"), "n")
+    # two sets x, y that link are apart by (n_x + n_y) * slack at most, so their pivots by what both reach
+    slack = (100 - percent) / (100 + percent)
+    members = members.withColumn("reach", F.col("away") + F.col("n") * F.lit(slack) + 1e-6)
+    sizes = members.groupBy("owner").agg(F.count(F.lit(1)).alias("size"), F.max("reach").alias("top"))
+    # a member's place in a random order of its cluster, about
+    place = F.shiftrightunsigned(F.xxhash64("doc"), 11).cast("double") / float(1 << 53) * F.col("size")
+    members = stage(members.join(sizes, "owner").select("owner", "doc", "away", "n", "reach", "size", "top", place.alias("place")), "members")
+    tops = members.groupBy("owner").agg(F.max("top").alias("top"), F.max("size").alias("size"))
+    for c in "xy":
+        clustered = clustered.join(tops.select(F.col("owner").alias(c), F.col("top").alias(f"{c}_top"), F.col("size").alias(f"{c}_size")), c)
+    clustered = stage(clustered.where(F.col("apart") <= F.col("x_top") + F.col("y_top")), "near")
     ends = lambda df: df.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return stage(ends(first).unionAll(ends(second)).unionAll(ends(third)), "found")
+    found = [ends(first), ends(second), *(ends(df) for df in _between(src, clustered, members, small, k, percent))]
+    return stage(reduce(DataFrame.unionAll, found), "found")
+
+
+def _between(src: DataFrame, clustered: DataFrame, members: DataFrame, small: DataFrame, k: int, percent: int) -> Iterator[DataFrame]:
+    """Compared pairs of members of clusters whose owners (x, y, apart) do not link. Each round takes GROWTH times as many members of
+    each cluster as the one before, and pairs of clusters that are linked by then take no part."""
+    largest = clustered.agg(F.max(F.greatest("x_size", "y_size"))).first()[0]
+    if largest is None:
+        return
+    low, high = 0, FIRST_MEMBERS
+    while True:
+        part = members.where(F.col("place") < high) if high < largest else members
+        one, two = (part.select(*[F.col(v).alias(f"{c}_{v}") for v in ("owner", "doc", "away", "n", "reach", "place")]) for c in "xy")
+        most = F.col("x_n") + F.col("y_n") - 2 * _overlap(F.col("x_n"), F.col("y_n"), percent)
+        near = (F.col("apart") - F.col("x_away") - F.col("y_away") <= most) & (F.greatest("x_place", "y_place") >= low)
+        rest = clustered.join(one, (F.col("x") == F.col("x_owner")) & (F.col("x_reach") + F.col("y_top") >= F.col("apart")))
+        rest = rest.join(two, (F.col("y") == F.col("y_owner")) & near)
+        rest = rest.where("x_doc <> x or y_doc <> y").select(F.col("x_doc").alias("x"), F.col("y_doc").alias("y")).distinct()
+        compared = _verified(src, _filtered(rest, small, percent), k, percent)
+        if high >= largest:
+            yield compared
+            return
+        compared = stage(compared, "compared")
+        yield compared
+        owner = lambda c: members.select(F.col("doc").alias(c), F.col("owner").alias(f"{c}_owner"))
+        done = compared.where("linked").join(owner("x"), "x").join(owner("y"), "y")
+        done = done.select(F.least("x_owner", "y_owner").alias("x"), F.greatest("x_owner", "y_owner").alias("y")).distinct()
+        clustered = stage(clustered.join(done, ["x", "y"], "left_anti"), "clustered")
+        low, high = high, high * GROWTH
+        if clustered.isEmpty():
+            return
+
+
+def _meet(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+    """pairs (x, y, a plain table) with the given columns of the rows of sets (by doc) of both. One set may be in most pairs: one
+    in more than PAIRS_A_TASK is copied, and each of its pairs meets one of the copies."""
+    ends = pairs.select(F.inline(F.array(*[F.struct(F.lit(c).alias("end"), F.col(c).alias("hot")) for c in "xy"])))
+    hot = stage(ends.groupBy("end", "hot").agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_TASK).alias("copies")).where("copies > 1"), "hot")
+    some = {r[0] for r in hot.select("end").distinct().collect()}
+    for c, other in ("xy", "yx"):
+        named = sets.select(F.col("doc").alias(c), *[F.col(v).alias(f"{c}_{v}") for v in columns])
+        if c not in some:
+            pairs = pairs.join(named, c)
+            continue
+        of = hot.where(F.col("end") == c).select("hot", "copies")
+        match = F.col(c) == F.col("hot")
+        salted = pairs.join(of, match).withColumn("salt", F.pmod(F.xxhash64(F.col(other)), F.col("copies"))).drop("hot", "copies")
+        copied = named.join(of, match).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).drop("hot", "copies")
+        pairs = pairs.join(of, match, "left_anti").join(named, c).unionByName(salted.join(copied, [c, "salt"]).drop("salt"))
+    return pairs
 
 
 def _need(percent: int, xl: Column, xh: Column, yl: Column, yh: Column) -> Column:
@@ -241,10 +311,9 @@ def _need(percent: int, xl: Column, xh: Column, yl: Column, yh: Column) -> Colum
 
 def _filtered(pairs: DataFrame, small: DataFrame, percent: int, heads: DataFrame | None = None) -> DataFrame:
     """Pairs of sets whose sizes and prefixes allow a link; prefixes are a tenth or a fifth of a set. Pairs with one of heads pass."""
-    for c in "xy":
-        pairs = pairs.join(small.select(F.col("doc").alias(c), F.col("n").alias(f"{c}n"), F.col("prefix").alias(f"{c}p")), c)
-    xn, yn = F.col("xn"), F.col("yn")
-    common = F.size(F.array_intersect("xp", "yp"))
+    pairs = _meet(stage(pairs, "pairs"), small, ["n", "prefix"])
+    xn, yn = F.col("x_n"), F.col("y_n")
+    common = F.size(F.array_intersect("x_prefix", "y_prefix"))
     fits = (100 * F.least(xn, yn) >= percent * F.greatest(xn, yn)) & (common >= _need(percent, xn, xn, yn, yn))
     pairs = pairs.select("x", "y", fits.alias("fits"))
     if heads is not None:
@@ -268,10 +337,9 @@ def _verified(src: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     texts = src.join(asked, F.col("doc") == F.col("id"), "left_semi")
     sets = texts.mapInPandas(full, "doc long, tokens array<long>")
     sets = stage(sets, "sets")
-    for c in "xy":
-        pairs = pairs.join(sets.select(F.col("doc").alias(c), F.col("tokens").alias(f"{c}t")), c)
-    both = F.size(F.array_intersect("xt", "yt")).cast("long")
-    total = F.size("xt") + F.size("yt")
+    pairs = _meet(pairs, sets, ["tokens"])
+    both = F.size(F.array_intersect("x_tokens", "y_tokens")).cast("long")
+    total = F.size("x_tokens") + F.size("y_tokens")
     pairs = pairs.select("x", "y", both.alias("both"), total.cast("long").alias("total"))
     linked = 100 * F.col("both") >= percent * (F.col("total") - F.col("both"))
     # rows that repeat an id give a pair several times

@@ -8,7 +8,7 @@ import xxhash
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _SHIFT, _M1, _M2 = np.uint64(31), np.uint64(0x7FB5D329728EA185), np.uint64(0x81DADEF4BC2DD44D)
 #: Words whose hashes a Python worker remembers; beyond that many it starts over. This bounds memory only.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 class _Words(dict):

@@ -345,8 +345,12 @@ def slow_groups(rows, k, percent):
     return {i: (len(sets[i]), head[i]) for i in sets}
 
 
+@pytest.mark.parametrize("hot", [False, True])
 @pytest.mark.parametrize("k, percent, seed", [(3, 90, 1), (5, 80, 2), (3, 60, 3)])
-def test_join_against_brute_force(spark, k, percent, seed):
+def test_join_against_brute_force(spark, monkeypatch, k, percent, seed, hot):
+    if hot:  # the ways beyond each bound
+        for name, value in (('BROADCAST_IDS', 0), ('PAIRS_A_TASK', 3), ('FIRST_MEMBERS', 2), ('GROWTH', 2)):
+            monkeypatch.setattr(jaccard, name, value)
     rnd = random.Random(seed)
     rows, i = [], 0
     for n, copies, edits in ((150, 40, 4), (400, 25, 12), (60, 20, 2), (30, 15, 1), (10, 6, 1), (2, 4, 0)):
