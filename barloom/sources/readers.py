@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -54,16 +55,32 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.option("header", True).csv(path)
     if ending == ".parquet":
         return spark.read.parquet(path)
-    if ending == ".json":
-        return spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
+    if ending in (".json", ".jsonl", ".ndjson"):
+        return read_json(spark, path)
     raise ValueError(f"cannot tell the format of {path}")
 
 
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """Records as JSON Lines, or as files that each hold an array of records or one record over several lines. A file whose first
+    line is a whole record is taken as lines, which Spark splits among tasks; a folder holds one kind."""
+    text = F.trim("value", F.lit(" \t\r\ufeff"))
+    first = spark.read.text(path).select(text.alias("value")).where("value <> ''").limit(1).collect()
+    if not first:  # no line: no record
+        return spark.createDataFrame([], "symbol string, trade_date string")
+    try:
+        lines = isinstance(json.loads(first[0]["value"]), dict)
+    except ValueError:
+        lines = False
+    reader = spark.read.option("primitivesAsString", True)
+    # a line that is no record, in a file of lines, is an error rather than a row of nulls
+    return (reader.option("mode", "FAILFAST") if lines else reader.option("multiLine", True)).json(path)
+
+
 @dataclass
 class FileSource:
     """Bars from a file or folder; formats: endings that this source takes."""
 
-    formats: tuple[str, ...] = (".csv", ".parquet", ".json")
+    formats: tuple[str, ...] = (".csv", ".parquet", ".json", ".jsonl", ".ndjson")
     market: str = "CN"
     exchange: str = "UNKNOWN"
 
