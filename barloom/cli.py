@@ -9,6 +9,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from barloom.config import Config
+from barloom.log import set_up
 
 
 def session() -> SparkSession:
@@ -48,8 +49,9 @@ def main(argv: list[str] | None = None) -> int:
 
     c = Config.from_file(a.config) if a.config else Config()
     if a.command == "demo":
-        c = Config.from_dict({**c.to_dict(), "data": {"train_start": "2022-01-03", "train_end": "2022-06-30", "oos_start": "2022-07-01", "oos_end": "2022-12-30"}})
+        c = Config.from_dict({**c.to_dict(), "data": {**c.data.to_dict(), "train_start": "2022-01-03", "train_end": "2022-06-30", "oos_start": "2022-07-01", "oos_end": "2022-12-30"}})
     c.output_dir = a.output
+    set_up(c.log_level, f"{a.output}/run.log")
     out = PipelineRunner(spark, c).run(a.source, a.path)
     print(json.dumps({"status_counts": out.get("status_counts"), "dedup": out.get("dedup"), "report": out["report"]}, indent=2))
     return 0

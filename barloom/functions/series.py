@@ -82,10 +82,11 @@ def cov(x: Column, y: Column, n: int) -> Column:
 
 
 def average_rank(x: Column, *scope: str) -> Column:
-    """Rank of non-null values from 1, ties at their average place."""
-    place = F.rank().over(Window.partitionBy(*scope).orderBy(x.asc_nulls_last()))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*scope, x))
-    return F.when(x.isNotNull(), place + (ties - 1) / F.lit(2.0))
+    """Rank of non-null values from 1, ties at their average place. Both windows share one partitioning and one sort: the first of
+    the ties by rank, the last by the count of all rows up to them."""
+    w = Window.partitionBy(*scope).orderBy(x.asc_nulls_last())
+    last = F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return F.when(x.isNotNull(), (F.rank().over(w) + last) / F.lit(2.0))
 
 
 def rank(x: Column, scope: str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame
 from barloom.plans.compiler import evaluate, evaluate_all
 from barloom.plans.expressions import ExpressionError, expression_hash, parse
 
+log = logging.getLogger(__name__)
+
 # Name, level, expression, direction.
 SEEDS: list[tuple[str, int, str, int]] = [
     ("trend_phase_ma", 1, "div(sub(ts_mean(close, 10), ts_mean(close, 60)), ts_mean(close, 60))", 1),
@@ -107,7 +110,8 @@ class Registry:
         for f in self.all_factors() if factors is None else factors:
             try:
                 parse(f.expression)
-            except ExpressionError:
+            except ExpressionError as e:
+                log.warning("factor %s cannot be read and is left out: %s", f.factor_id, e)
                 continue
             good[f.factor_id] = (f.expression, f.direction)
         return evaluate_all(panel, good, scope, keep)

@@ -59,8 +59,8 @@ def check_text(f: Factor, c: QualityConfig) -> QualityResult:
     except ExpressionError as e:
         r.fail("dsl_whitelist", str(e))
         return r
-    if any(n > c.max_window for n in windows(tree)):
-        r.fail("dsl_whitelist", f"a window exceeds {c.max_window}")
+    if any(n > c.max_window_size for n in windows(tree)):
+        r.fail("dsl_whitelist", f"a window exceeds {c.max_window_size}")
     return r
 
 
@@ -123,12 +123,12 @@ def check_all(factors: list[Factor], panel: DataFrame, config: QualityConfig | N
         for i, s in sample_stats(panel, alive(), scope, c).items():
             r = found[i]
             r.valid_ratio = s["valid"]
-            r.is_constant = s["sd"] is not None and s["sd"] < c.near_constant
+            r.is_constant = s["sd"] is not None and s["sd"] < c.near_constant_threshold
             if not s["n"]:
                 r.fail("execution", "no rows")
             elif not s["valid"]:
                 r.fail("nan_constant", "no valid value")
-            elif s["valid"] < c.min_valid_ratio:
+            elif s["valid"] < c.min_valid_ratio or 1 - s["valid"] > c.max_nan_ratio:
                 r.fail("nan_constant", f"valid share {s['valid']:.3f} is below {c.min_valid_ratio}")
             elif s["inf"]:
                 r.fail("nan_constant", "an infinite value")
@@ -138,7 +138,7 @@ def check_all(factors: list[Factor], panel: DataFrame, config: QualityConfig | N
         if len((by_id[i].description or "").strip()) < 10:
             found[i].fail("economic_logic", "the description is too short")
     if alive():
-        dates = truncation_dates(panel, c.truncation_dates, seed)
+        dates = truncation_dates(panel, c.truncation_test_dates, seed)
         if not dates:
             for i in alive():
                 found[i].warnings.append(f"fewer than {LEAST_DATES} dates: no truncation test")

@@ -27,13 +27,13 @@ def composite_score(metrics: DataFrame) -> DataFrame:
 def classify(scored: DataFrame, config: FactorConfig | None = None) -> DataFrame:
     c = config or FactorConfig()
 
-    def reaches(score: float, least: tuple[float, ...]) -> Column:
+    def reaches(score: float, least: list[float]) -> Column:
         ok = F.col("composite_score") >= score
         for name, value in zip(SCORED, least, strict=True):
             ok = ok & (F.col(name) >= value)
         return ok
 
-    status = F.when(reaches(c.elite_score, c.elite_least), "elite").when(reaches(c.qualified_score, c.qualified_least), "qualified").otherwise("rejected")
+    status = F.when(reaches(c.elite_score_threshold, c.least("elite")), "elite").when(reaches(c.qualified_score_threshold, c.least("qualified")), "qualified").otherwise("rejected")
     return scored.withColumn("status", status)
 
 

@@ -5,6 +5,7 @@ Each step is one Spark job over all factors. What reaches the driver is a row fo
 
 from __future__ import annotations
 
+import logging
 import os
 import platform
 from typing import Any
@@ -20,6 +21,8 @@ from barloom.panel import fingerprint, manifest, profile, validate
 from barloom.sources.readers import SOURCES, DataRequest
 from barloom.sources.sinks import write_checksums, write_json, write_records, write_report
 
+log = logging.getLogger(__name__)
+
 RUN_STRATEGIES = ("top_quantile", "long_short", "equal_weight")
 
 
@@ -39,6 +42,7 @@ class PipelineRunner:
     def run(self, source: str = "synthetic", path: str = "", panel: DataFrame | None = None) -> dict[str, Any]:
         c, out = self.config, self.config.output_dir
         bounds = SampleBoundary.from_config(c.data)
+        log.info("run over %s to %s, factors: %d", c.data.train_start, c.data.oos_end, self.registry.count())
         write_json(c.to_dict(), f"{out}/config_snapshot.json")
         write_json({"python": platform.python_version(), "pyspark": pyspark.__version__, "platform": platform.platform()}, f"{out}/environment.json")
         panel = (self.load(source, path) if panel is None else panel).persist()
@@ -57,6 +61,7 @@ class PipelineRunner:
         for f, r in zip(factors, gate, strict=True):
             f.status, f.reason = ("passed", "") if r.passed else ("rejected", r.error)
         result["quality"] = [r.to_dict() for r in gate]
+        log.info("gate: %d of %d factors pass", sum(r.passed for r in gate), len(gate))
         write_records(result["quality"], f"{out}/quality/factor_quality.csv")
 
         passed = self.registry.passed_factors()
@@ -79,8 +84,8 @@ class PipelineRunner:
             f.train_metrics = {k: v for k, v in by_id.get(f.factor_id, {}).items() if isinstance(v, float)}
         info = {f.factor_id: {"score": by_id[f.factor_id]["composite_score"], "coverage": by_id[f.factor_id]["coverage"], "turnover": by_id[f.factor_id]["turnover"], "length": len(f.expression)} for f in passed}
         kept, removed = order, []
-        if c.dedup.numerical:
-            kept, removed = scoring.numerical_dedup(order, scoring.correlation_pairs(scoring.daily_means(train_values)), info, c.dedup.correlation)
+        if c.dedup.numerical_dedup:
+            kept, removed = scoring.numerical_dedup(order, scoring.correlation_pairs(scoring.daily_means(train_values)), info, c.dedup.absolute_correlation_threshold)
         result["dedup"] = {"before": len(order), "after": len(kept), "removed": removed}
         write_records([{"factor_id": f, "kept": f in kept} for f in order], f"{out}/dedup/dedup_results.csv")
         write_records([{"factor_id": f.factor_id, "expression": f.expression} for f in passed if by_id[f.factor_id]["status"] == "elite"], f"{out}/elite_factors/elite_factors.csv")
@@ -99,6 +104,7 @@ class PipelineRunner:
 
     def _finish(self, result: dict[str, Any]) -> dict[str, Any]:
         out = self.config.output_dir
+        log.info("results in %s", out)
         result["report"] = write_report(result, os.path.join(out, "report"))
         write_checksums(out)
         return result

@@ -335,7 +335,7 @@ def score_sql() -> str:
     total = " + ".join(share(m) for m in sc.SCORED)
     reach = lambda score, least: " AND ".join([f"composite_score >= {score}", *(f"{m} >= {v}" for m, v in zip(sc.SCORED, least, strict=True))])
     return f"""{metrics_sql(TRAIN)}, s AS (SELECT *, ({total}) / 4 AS composite_score FROM a),
-k AS (SELECT *, CASE WHEN {reach(c.elite_score, c.elite_least)} THEN 'elite' WHEN {reach(c.qualified_score, c.qualified_least)} THEN 'qualified' ELSE 'rejected' END AS status FROM s)"""
+k AS (SELECT *, CASE WHEN {reach(c.elite_score_threshold, c.least("elite"))} THEN 'elite' WHEN {reach(c.qualified_score_threshold, c.least("qualified"))} THEN 'qualified' ELSE 'rejected' END AS status FROM s)"""
 
 
 add("composite_score", lambda s, d: rounded(scored(s, d).select("factor_id", "composite_score")), f"WITH {score_sql()} SELECT factor_id, {r('composite_score', 'composite_score')} FROM k")

@@ -1,8 +1,11 @@
 import datetime
 import hashlib
+import json
 
 import pytest
 
+from barloom.config import Config
+from barloom.log import set_up
 from barloom.operators.boundary import LeakageError, LeakageGuard, SampleBoundary
 from barloom.panel import fingerprint, manifest, normalize, profile, validate
 from barloom.sources import datasets
@@ -114,3 +117,32 @@ def test_datasets(spark, tmp_path):
     assert datasets.register_local(spark, d.path).info["n_symbols"] == 2
     with pytest.raises(ValueError):
         datasets.upload(spark, "a.exe", b"", str(tmp_path))
+
+
+def test_json_lines_and_arrays(spark, tmp_path):
+    rows = [{"symbol": f"00{i}", "trade_date": "2022-01-03", "open": 1, "high": 2, "low": 1, "close": 1.5, "volume": i} for i in range(3)]
+    texts = {"lines.json": "\n".join(map(json.dumps, rows)), "lines.jsonl": "\n\n" + "\n".join(map(json.dumps, rows)) + "\n", "array.json": json.dumps(rows), "pretty.json": json.dumps(rows, indent=2), "one.json": json.dumps(rows[0], indent=1)}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+        got = SOURCES["vendor_c"].load(spark, DataRequest(str(tmp_path / name))).collect()
+        assert sorted((r["symbol"], r["volume"]) for r in got) == [(r["symbol"], float(r["volume"])) for r in rows][: 1 if name == "one.json" else 3], name
+    spark.createDataFrame(rows).repartition(2).write.json(str(tmp_path / "folder.json"))
+    assert SOURCES["vendor_c"].load(spark, DataRequest(str(tmp_path / "folder.json"))).count() == 3
+    (tmp_path / "none.json").write_text("")
+    assert SOURCES["vendor_c"].load(spark, DataRequest(str(tmp_path / "none.json"))).count() == 0
+
+
+def test_configuration_keys(tmp_path, caplog):
+    values = {"dedup": {"absolute_correlation_threshold": 0.5}, "factors": {"min_ic_elite": 0.2, "nonsense": 1}, "quality": {"max_window_size": 20, "near_constant_threshold": "1e-6"}, "generation": {"enabled": False}, "log_level": "DEBUG", "portfolio": {"transaction_cost_bps": 3}}
+    (tmp_path / "c.json").write_text(json.dumps(values))
+    c = Config.from_file(str(tmp_path / "c.json"))
+    assert c.dedup.absolute_correlation_threshold == 0.5 and c.factors.least("elite") == [0.2, 0.1, 0.01, 0.1] and c.quality.max_window_size == 20
+    assert c.quality.near_constant_threshold == 1e-6 and c.portfolio.transaction_cost_bps == 3.0 and c.log_level == "DEBUG" and c.quality.sample_rows is None
+    assert "factors.nonsense" in caplog.text and "generation" not in caplog.text
+    assert Config.from_dict(c.to_dict()).fingerprint() == c.fingerprint() != Config().fingerprint()
+
+
+def test_log_lines(tmp_path):
+    set_up("info", str(tmp_path / "logs" / "run.log"), run="r1").info("one line")
+    set_up().debug("not told")
+    assert "INFO barloom [r1] one line" in (tmp_path / "logs" / "run.log").read_text()

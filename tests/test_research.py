@@ -160,7 +160,7 @@ def test_gate_sees_later_symbols(spark):
 
 def test_pipeline(spark, tmp_path):
     c = Config.from_dict({"data": {"train_start": "2022-01-03", "train_end": "2022-04-29", "oos_start": "2022-05-02", "oos_end": "2022-06-30"}, "output_dir": str(tmp_path), "nonsense": 1})
-    c.quality.truncation_dates = 2
+    c.quality.truncation_test_dates = 2
     panel = SyntheticSource(12).load(spark, DataRequest(start_date=c.data.train_start, end_date=c.data.oos_end))
     seeds = [f for f in seed_factors() if f.factor_id in ("seed_006", "seed_009", "seed_010", "seed_019", "seed_021")]
     out = PipelineRunner(spark, c, Registry(seeds)).run(panel=panel)
