@@ -285,8 +285,8 @@ def _between(src: DataFrame, clustered: DataFrame, members: DataFrame, small: Da
 def _meet(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
     """pairs (x, y, a plain table) with the given columns of the rows of sets (by doc) of both. One set may be in most pairs: one
     in more than PAIRS_A_TASK is copied, and each of its pairs meets one of the copies."""
-    ends = pairs.select(F.inline(F.array(*[F.struct(F.lit(c).alias("end"), F.col(c).alias("hot")) for c in "xy"])))
-    hot = stage(ends.groupBy("end", "hot").agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_TASK).alias("copies")).where("copies > 1"), "hot")
+    often = lambda c: pairs.groupBy(F.lit(c).alias("end"), F.col(c).alias("hot")).agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_TASK).alias("copies"))
+    hot = stage(often("x").unionAll(often("y")).where("copies > 1"), "hot")
     some = {r[0] for r in hot.select("end").distinct().collect()}
     for c, other in ("xy", "yx"):
         named = sets.select(F.col("doc").alias(c), *[F.col(v).alias(f"{c}_{v}") for v in columns])
