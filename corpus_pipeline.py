@@ -79,7 +79,8 @@ STAGES = [
     ("BPE encoding", tokenize),
 ]
 
-#: No SQL: learned cutoffs, Newton iterations and merges; tests hold run() against brute force.
+#: No SQL: learned cutoffs, Newton iterations and merges. Tests hold the operators against brute force and run all stages on odd tables;
+#: there is no brute-force version of the whole run.
 ORACLE_SQL = None
 
 
