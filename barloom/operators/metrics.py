@@ -13,6 +13,8 @@ from barloom.functions.series import average_rank, guarded_corr
 from barloom.panel import by_date
 
 LEAST_PAIRS = 5
+#: Factor values that agree in so many significant digits are ties when they are ranked: what they differ in beyond is the order of a sum.
+TIE_DIGITS = 9
 GROUP = ["factor_id", "trade_date"]
 
 
@@ -27,10 +29,19 @@ def with_forward_return(panel: DataFrame, period: int = 1, fill: bool = True) ->
     return panel.withColumn("forward_return", later / F.nullif(F.col("__close"), F.lit(0.0)) - 1).drop("__close")
 
 
-def daily_ic(values: DataFrame) -> DataFrame:
-    """factor_id, trade_date, ic, rankic, n: Pearson and Spearman correlation by date with LEAST_PAIRS pairs or more."""
+def tied(x: Column, digits: int | None = TIE_DIGITS) -> Column:
+    """x to its leading digits, whatever its size, for ranking (None: x itself). Zero, infinite and extreme values stay."""
+    if digits is None:
+        return x
+    scale = F.pow(F.lit(10.0), digits - 1 - F.floor(F.log10(F.abs(x))))
+    return F.when(F.abs(x).between(1e-290, 1e290), F.rint(x * scale) / scale).otherwise(x)
+
+
+def daily_ic(values: DataFrame, digits: int | None = TIE_DIGITS) -> DataFrame:
+    """factor_id, trade_date, ic, rankic, n: Pearson and Spearman correlation by date with LEAST_PAIRS pairs or more.
+    Ranks are those of tied(factor_value, digits); ic takes the values as they are."""
     pairs = values.where("factor_value is not null and forward_return is not null")
-    ranked = pairs.withColumns({"__x": average_rank(F.col("factor_value"), *GROUP), "__y": average_rank(F.col("forward_return"), *GROUP)})
+    ranked = pairs.withColumns({"__x": average_rank(tied(F.col("factor_value"), digits), *GROUP), "__y": average_rank(F.col("forward_return"), *GROUP)})
     plain = lambda c: c
     return ranked.groupBy(*GROUP).agg(
         guarded_corr(F.col("factor_value"), F.col("forward_return"), plain).alias("ic"),
@@ -60,11 +71,11 @@ def coverage(values: DataFrame) -> DataFrame:
     return values.groupBy("factor_id").agg(F.avg(F.col("factor_value").isNotNull().cast("double")).alias("coverage"))
 
 
-def rank_turnover(values: DataFrame) -> DataFrame:
+def rank_turnover(values: DataFrame, digits: int | None = TIE_DIGITS) -> DataFrame:
     """By factor: mean over symbols of the mean absolute change of the symbol's percentage rank between one date and
-    the next. A date counts if any symbol has a value; a change needs a value on both."""
+    the next. A date counts if any symbol has a value; a change needs a value on both. Ranks are those of tied values."""
     held = values.where("factor_value is not null").groupBy(*GROUP, "symbol").agg(F.avg("factor_value").alias("v"))
-    ranked = held.withColumn("r", average_rank(F.col("v"), *GROUP) / F.count(F.lit(1)).over(Window.partitionBy(*GROUP)))
+    ranked = held.withColumn("r", average_rank(tied(F.col("v"), digits), *GROUP) / F.count(F.lit(1)).over(Window.partitionBy(*GROUP)))
     days = held.select(*GROUP).distinct().withColumn("i", F.row_number().over(Window.partitionBy("factor_id").orderBy("trade_date")))
     own = Window.partitionBy("factor_id", "symbol").orderBy("i")
     change = F.when(F.lag("i").over(own) == F.col("i") - 1, F.abs(F.col("r") - F.lag("r").over(own)))

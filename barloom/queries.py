@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom import panel as pn
-from barloom.config import FactorConfig, PortfolioConfig
+from barloom.config import FactorConfig, PortfolioConfig, QualityConfig
 from barloom.library import SEEDS, seed_factors
 from barloom.operators import backtest as bt
 from barloom.operators import metrics as mt
@@ -28,9 +28,9 @@ SQL: dict[str, str] = {}
 BOUNDS = SampleBoundary("1995-01-01", "1998-12-31", "1999-01-01", "2001-12-31")
 SEED_EXPRESSIONS = {f.factor_id: f.expression for f in seed_factors()}
 SEED_PAIRS = {f.factor_id: (f.expression, f.direction) for f in seed_factors()}
+#: Differences above it fail the truncation test.
+TOLERANCE = QualityConfig().truncation_max_diff
 BAR_COLUMNS = ["symbol", "trade_date", *FIELDS]
-#: Factor values are rounded to so many places before they are ranked.
-TIE_PLACES = 6
 #: Portfolio of the registered back-tests.
 PORTFOLIO = PortfolioConfig(rebalance="weekly")
 
@@ -209,16 +209,15 @@ def factor_all_long(s: SparkSession, d: str) -> DataFrame:
     return rounded(evaluate_all(months(s, d), SEED_PAIRS), 6)
 
 
-def long_sql(source: str = BARS, name: str = "v", places: int | None = 6) -> str:
+def long_sql(source: str = BARS, name: str = "v") -> str:
     """CTEs that end in name: factor_id, symbol, trade_date, forward_return, factor_value of all built-in factors."""
     panel = expression_sql(SEED_EXPRESSIONS, source)
     fwd = "lead(close, 1) OVER (PARTITION BY symbol ORDER BY trade_date) / nullif(close, 0) - 1"
-    value = lambda f: f"{f} * {SEED_PAIRS[f][1]}" if places is None else f"round({f} * {SEED_PAIRS[f][1]}, {places})"
-    one = " UNION ALL ".join(f"SELECT '{f}' AS factor_id, symbol, trade_date, forward_return, {value(f)} AS factor_value FROM pf" for f in SEED_EXPRESSIONS)
+    one = " UNION ALL ".join(f"SELECT '{f}' AS factor_id, symbol, trade_date, forward_return, {f} * {SEED_PAIRS[f][1]} AS factor_value FROM pf" for f in SEED_EXPRESSIONS)
     return f"{panel}, pf AS MATERIALIZED (SELECT *, {fwd} AS forward_return FROM panel), {name} AS MATERIALIZED ({one})"
 
 
-add("factor_all_long", factor_all_long, f"WITH {long_sql(places=None)} SELECT factor_id, symbol, trade_date, {r('factor_value', 'factor_value', 6)} FROM v")
+add("factor_all_long", factor_all_long, f"WITH {long_sql()} SELECT factor_id, symbol, trade_date, {r('factor_value', 'factor_value', 6)} FROM v")
 
 # --- the registry's texts
 
@@ -259,21 +258,25 @@ def values(s: SparkSession, d: str, part: str = "all") -> DataFrame:
     """All built-in factors in long form with the forward return, computed within the period."""
     p = months(s, d)
     p = {"all": lambda: p, "train": lambda: BOUNDS.train(p), "oos": lambda: BOUNDS.oos(p)}[part]()
-    out = evaluate_all(mt.with_forward_return(p), SEED_PAIRS, keep=("forward_return",))
-    # values that differ in their last bits only are ties: ranks must not hang on the order of a sum
-    return out.withColumn("factor_value", F.round("factor_value", TIE_PLACES))
+    return evaluate_all(mt.with_forward_return(p), SEED_PAIRS, keep=("forward_return",))
 
 
 TRAIN, OOS = (f"SELECT * FROM ({BARS}) WHERE trade_date BETWEEN DATE '{a}' AND DATE '{b}'" for a, b in ((BOUNDS.train_start, BOUNDS.train_end), (BOUNDS.oos_start, BOUNDS.oos_end)))
 
 
+def tied_sql(x: str) -> str:
+    scale = f"pow(10.0::DOUBLE, {mt.TIE_DIGITS - 1} - floor(log10(abs({x}))))"
+    return f"CASE WHEN abs({x}) BETWEEN 1e-290 AND 1e290 THEN round_even({x} * {scale}, 0) / {scale} ELSE {x} END"
+
+
 def _ranked(x: str) -> str:
     return f"rank() OVER (PARTITION BY factor_id, trade_date ORDER BY {x}) + (count(*) OVER (PARTITION BY factor_id, trade_date, {x}) - 1) / 2.0::DOUBLE"
 
 
 def ic_sql(v: str = "v", out: str = "ic") -> str:
     return f"""{out}_p AS (SELECT * FROM {v} WHERE factor_value IS NOT NULL AND forward_return IS NOT NULL),
-{out}_r AS (SELECT *, {_ranked('factor_value')} AS rx, {_ranked('forward_return')} AS ry FROM {out}_p),
+{out}_q AS (SELECT *, {tied_sql('factor_value')} AS tied FROM {out}_p),
+{out}_r AS (SELECT *, {_ranked('tied')} AS rx, {_ranked('forward_return')} AS ry FROM {out}_q),
 {out} AS (SELECT factor_id, trade_date, {corr_sql('factor_value', 'forward_return')} AS ic, {corr_sql('rx', 'ry')} AS rankic, count(*) AS n FROM {out}_r GROUP BY 1, 2 HAVING count(*) >= 5)"""
 
 
@@ -286,7 +289,7 @@ FROM {ic} GROUP BY 1)"""
 
 
 def turnover_sql(v: str = "v", out: str = "t") -> str:
-    return f"""{out}_h AS (SELECT factor_id, trade_date, symbol, avg(factor_value) AS x FROM {v} WHERE factor_value IS NOT NULL GROUP BY ALL),
+    return f"""{out}_h AS (SELECT factor_id, trade_date, symbol, {tied_sql('avg(factor_value)')} AS x FROM {v} WHERE factor_value IS NOT NULL GROUP BY ALL),
 {out}_r AS (SELECT *, ({_ranked('x')}) / count(*) OVER (PARTITION BY factor_id, trade_date) AS r, dense_rank() OVER (PARTITION BY factor_id ORDER BY trade_date) AS i FROM {out}_h),
 {out}_d AS (SELECT factor_id, symbol, CASE WHEN lag(i) OVER w = i - 1 THEN abs(r - lag(r) OVER w) END AS c FROM {out}_r WINDOW w AS (PARTITION BY factor_id, symbol ORDER BY i)),
 {out} AS (SELECT factor_id, coalesce(avg(c), 0) AS turnover FROM (SELECT factor_id, symbol, avg(c) AS c FROM {out}_d GROUP BY 1, 2) GROUP BY 1)"""
@@ -311,16 +314,16 @@ coalesce(n_valid_dates, 0) AS n_valid_dates FROM c{tag} LEFT JOIN t{tag} USING (
 
 
 ALL_METRICS = [*METRICS, "coverage", "turnover"]
-_rounds = lambda cols, p=8: ", ".join(r(c, c, p) for c in cols)
+_rounds = lambda cols, p=6: ", ".join(r(c, c, p) for c in cols)
 
 add("fwd_return", lambda s, d: rounded(mt.with_forward_return(months(s, d)).select("symbol", "trade_date", "forward_return")),
     f"SELECT symbol, trade_date, {r('lead(close) OVER (PARTITION BY symbol ORDER BY trade_date) / nullif(close, 0) - 1', 'forward_return')} FROM ({BARS})")
 add("daily_ic", lambda s, d: rounded(mt.daily_ic(values(s, d)).select("factor_id", "trade_date", "ic", "n")), f"WITH {long_sql()}, {ic_sql()} SELECT factor_id, trade_date, {r('ic', 'ic')}, n FROM ic")
 add("daily_rankic", lambda s, d: rounded(mt.daily_ic(values(s, d)).select("factor_id", "trade_date", "rankic", "n")), f"WITH {long_sql()}, {ic_sql()} SELECT factor_id, trade_date, {r('rankic', 'rankic')}, n FROM ic")
-add("icir_summary", lambda s, d: rounded(mt.ic_summary(mt.daily_ic(values(s, d)))), f"WITH {long_sql()}, {ic_sql()}, {summary_sql()} SELECT factor_id, n_valid_dates, {_rounds(METRICS)} FROM m")
+add("icir_summary", lambda s, d: rounded(mt.ic_summary(mt.daily_ic(values(s, d))), 6), f"WITH {long_sql()}, {ic_sql()}, {summary_sql()} SELECT factor_id, n_valid_dates, {_rounds(METRICS)} FROM m")
 add("coverage", lambda s, d: rounded(mt.coverage(values(s, d))), f"WITH {long_sql()}, {cover_sql()} SELECT factor_id, {r('coverage', 'coverage')} FROM c")
 add("rank_turnover", lambda s, d: rounded(mt.rank_turnover(values(s, d))), f"WITH {long_sql()}, {turnover_sql()} SELECT factor_id, {r('turnover', 'turnover')} FROM t")
-add("metrics_all", lambda s, d: rounded(mt.all_metrics(values(s, d))), f"WITH {metrics_sql(BARS)} SELECT factor_id, n_valid_dates, {_rounds(ALL_METRICS)} FROM a")
+add("metrics_all", lambda s, d: rounded(mt.all_metrics(values(s, d)), 6), f"WITH {metrics_sql(BARS)} SELECT factor_id, n_valid_dates, {_rounds(ALL_METRICS)} FROM a")
 
 # --- scoring, deduplication, out-of-sample
 
@@ -356,7 +359,20 @@ def dedup_numerical(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame([(f, True) for f in kept] + [(f, False) for f in removed], "factor_id string, kept boolean")
 
 
-add("dedup_numerical", dedup_numerical)
+def dedup_sql() -> str:
+    """The walk over the factors as a recursive query: one step for each, with the places of those removed so far."""
+    listed = ", ".join(f"({i}, '{f}', {len(e)})" for i, (f, e) in enumerate(SEED_EXPRESSIONS.items()))
+    return f"""WITH RECURSIVE {score_sql()}, {PAIRS},
+f AS (SELECT pos, factor_id, row_number() OVER (ORDER BY composite_score DESC, length, coverage DESC, turnover, pos) AS place FROM (VALUES {listed}) t(pos, factor_id, length) JOIN s USING (factor_id)),
+near AS (SELECT l.pos, list({{'place': r.place, 'pos': r.pos}}) AS found FROM f l JOIN f r ON l.pos = r.pos
+OR (l.pos < r.pos AND EXISTS (SELECT 1 FROM pairs WHERE abs(correlation) >= 0.85 AND a = least(l.factor_id, r.factor_id) AND b = greatest(l.factor_id, r.factor_id))) GROUP BY 1),
+walk AS (SELECT 0 AS pos, []::INTEGER[] AS removed UNION ALL
+SELECT pos + 1, CASE WHEN list_contains(removed, pos) THEN removed ELSE list_concat(removed, [g.pos for g in left_over if g.pos <> list_min(left_over).pos]) END
+FROM (SELECT w.pos, removed, [g for g in found if NOT list_contains(removed, g.pos)] AS left_over FROM walk w JOIN near USING (pos)))
+SELECT factor_id, NOT list_contains(removed, f.pos) AS kept FROM f, walk w WHERE w.pos = (SELECT count(*) FROM f)"""
+
+
+add("dedup_numerical", dedup_numerical, dedup_sql())
 
 
 def oos(s: SparkSession, d: str) -> DataFrame:
@@ -364,9 +380,9 @@ def oos(s: SparkSession, d: str) -> DataFrame:
 
 
 OOS_SQL = f"""{metrics_sql(TRAIN, '_tr')}, {metrics_sql(OOS, '_oo')}, o AS (SELECT a_oo.*, coalesce(a_tr.ic_mean, 0) AS train_ic, coalesce(a_oo.ic_mean, 0) AS oos_ic FROM a_oo JOIN a_tr USING (factor_id))"""
-add("oos_metrics", lambda s, d: rounded(oos(s, d).select("factor_id", "n_valid_dates", *ALL_METRICS)), f"WITH {OOS_SQL} SELECT factor_id, n_valid_dates, {_rounds(ALL_METRICS)} FROM o")
+add("oos_metrics", lambda s, d: rounded(oos(s, d).select("factor_id", "n_valid_dates", *ALL_METRICS), 6), f"WITH {OOS_SQL} SELECT factor_id, n_valid_dates, {_rounds(ALL_METRICS)} FROM o")
 add("oos_decay", lambda s, d: rounded(oos(s, d).select("factor_id", "train_ic", "oos_ic", "decay_ratio"), 6),
-    f"WITH {OOS_SQL} SELECT factor_id, {_rounds(['train_ic', 'oos_ic'], 6)}, {r('coalesce((train_ic - oos_ic) / nullif(abs(train_ic), 0), 0)', 'decay_ratio', 6)} FROM o")
+    f"WITH {OOS_SQL} SELECT factor_id, {_rounds(['train_ic', 'oos_ic'])}, {r('coalesce((train_ic - oos_ic) / nullif(abs(train_ic), 0), 0)', 'decay_ratio', 6)} FROM o")
 add("oos_sign", lambda s, d: oos(s, d).select("factor_id", "sign_consistent"), f"WITH {OOS_SQL} SELECT factor_id, (train_ic >= 0) = (oos_ic >= 0) AS sign_consistent FROM o")
 
 # --- back-test of one factor (midterm_momentum) on the whole panel
@@ -489,15 +505,15 @@ def truncation(expressions: dict[str, str]) -> Query:
 
         p = months(s, d)
         out = ql.truncation_test(p, expressions, [datetime.date(1998, 12, 1)])
-        return rounded(out.select("factor_id", "trade_date", "n", "max_diff"), 6)
+        return rounded(out.select("factor_id", "trade_date", "n", "max_diff", (F.col("max_diff") > TOLERANCE).alias("leaks")), 6)
 
     return run
 
 
 def truncation_sql(expressions: dict[str, str]) -> str:
-    ends = "SELECT '{f}' AS factor_id, l.trade_date, count(*) AS n, round(max(abs(l.{f} - r.{f})), 6) AS max_diff FROM whole l JOIN cut r USING (symbol, trade_date) WHERE l.trade_date = DATE '1998-12-01' AND l.{f} IS NOT NULL AND r.{f} IS NOT NULL GROUP BY 2 HAVING count(*) >= 2"
+    ends = "SELECT '{f}' AS factor_id, l.trade_date, count(*) AS n, round(max(abs(l.{f} - r.{f})), 6) AS max_diff, max(abs(l.{f} - r.{f})) > {most} AS leaks FROM whole l JOIN cut r USING (symbol, trade_date) WHERE l.trade_date = DATE '1998-12-01' AND l.{f} IS NOT NULL AND r.{f} IS NOT NULL GROUP BY 2 HAVING count(*) >= 2"
     cut = f"SELECT * FROM ({BARS}) WHERE trade_date <= DATE '1998-12-01'"
-    return f"WITH {expression_sql(expressions, BARS, name='whole')}, {expression_sql(expressions, cut, name='cut')} " + " UNION ALL ".join(ends.format(f=f) for f in expressions)
+    return f"WITH {expression_sql(expressions, BARS, name='whole')}, {expression_sql(expressions, cut, name='cut')} " + " UNION ALL ".join(ends.format(f=f, most=TOLERANCE) for f in expressions)
 
 
 TS_SEEDS = {f: e for f, e in SEED_EXPRESSIONS.items() if f not in ("seed_021",)}

@@ -168,3 +168,14 @@ def test_pipeline(spark, tmp_path):
     names = {os.path.relpath(os.path.join(d, f), tmp_path) for d, _, fs in os.walk(tmp_path) for f in fs}
     assert {"SHA256SUMS", "report/report.html", "report/summary.json", "oos/oos_metrics.csv", "data_manifest.json", "run_manifest.json", "environment.json"} <= names
     assert json.load(open(tmp_path / "report/summary.json"))["passed_quality"] == 4
+
+
+def test_ties_at_any_size(spark):
+    # 0.1 + 0.2 and 0.3 differ in their last bit only; small values differ in their first digits
+    rows = [(0.1 + 0.2, 0.3), (3e-8, 3.1e-8), (-2e12, -2e12 - 1e-3), (0.0, -0.0), (float("inf"), float("inf")), (None, None), (1e-300, 1e-300)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    got = [(r["a"], r["b"]) for r in df.select(metrics.tied(df.a).alias("a"), metrics.tied(df.b).alias("b")).collect()]
+    assert [a == b for a, b in got] == [True, False, True, True, True, True, True]
+    assert got[1][0] == pytest.approx(3e-8, rel=1e-9) and got[4][0] == float("inf") and got[6][0] == 1e-300
+    small = [("f", f"s{i}", 1, i * 1e-8, float(i)) for i in range(6)]
+    assert metrics.daily_ic(spark.createDataFrame(small, "factor_id string, symbol string, trade_date int, factor_value double, forward_return double")).first()["rankic"] == pytest.approx(1.0)
