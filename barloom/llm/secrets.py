@@ -49,6 +49,8 @@ MORE = [
 RULES = BASE + MORE
 
 FINDING = "struct<rule:string,start:long,end:long>"
+#: Matches whose places are summed up together.
+PART = 256
 
 
 def spans(text: Column, rule: Rule) -> Column:
@@ -59,15 +61,27 @@ def spans(text: Column, rule: Rule) -> Column:
     # a long text may hold a hundred thousand matches that fail: the sum of lengths runs over them once
     gaps = F.slice(F.split(text, rule.pattern, -1), 1, F.size(found))
     steps = F.zip_with(gaps, F.zip_with(found, told, lambda m, g: F.struct(F.char_length(m).alias("m"), F.char_length(g).alias("g"))), lambda gap, m: F.struct(F.char_length(gap).alias("gap"), m.alias("m")))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), nothing.alias("out"))
+    steps = F.transform(steps, lambda x: F.struct((x["gap"] + x["m"]["m"]).cast("long").alias("on"), x["m"]["m"].cast("long").alias("m"), (x["m"]["g"] >= rule.least).alias("stays")))
+    return F.when(text.rlike(rule.hint) if rule.hint else F.lit(True), F.flatten(F.transform(F.array(steps), lambda x: _placed(x, rule, nothing)))).otherwise(nothing)
+
+
+def _placed(steps: Column, rule: Rule, nothing: Column) -> Column:
+    """The findings of steps (on: how far a match ends after the one before). Running sums go by parts of PART matches, each with its own
+    array, so that no long array is copied for every finding."""
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(steps) / PART).cast("int") - 1, F.lit(0))), lambda i: F.slice(steps, i * PART + 1, PART))
+    ahead = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<at:long,part:array<struct<on:long,m:long,stays:boolean>>>>").alias("out"))
+
+    def begin(acc: Column, part: Column) -> Column:
+        total = F.aggregate(part, acc["at"], lambda at, x: at + x["on"])
+        return F.struct(total.alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), part.alias("part")))).alias("out"))
 
     def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + x["m"]["m"]
-        one = F.array(F.struct(F.lit(rule.key).alias("rule"), start.cast("long").alias("start"), end.cast("long").alias("end")))
-        return F.struct(end.cast("long").alias("at"), F.when(x["m"]["g"] >= rule.least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        end = acc["at"] + x["on"]
+        one = F.array(F.struct(F.lit(rule.key).alias("rule"), (end - x["m"]).alias("start"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(x["stays"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(rule.hint) if rule.hint else F.lit(True), F.aggregate(steps, zero, add, lambda acc: acc["out"])).otherwise(nothing)
+    within = lambda p: F.aggregate(p["part"], F.struct(p["at"].alias("at"), nothing.alias("out")), add, lambda acc: acc["out"])
+    return F.flatten(F.transform(F.aggregate(parts, ahead, begin, lambda acc: acc["out"]), within))
 
 
 def scan(docs: DataFrame, rules: list[Rule] = RULES, ledger: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -75,7 +89,8 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES, ledger: str | None = None,
 
     ledger: a Parquet folder that all executors reach; what it has is not scanned again, what is scanned is
     appended. Without one a fresh ledger is made in the shared folder. Null texts are the empty blob.
-    Rows with a null id, repeated rows and ties are paths like any other. Kinds are stored in the ledger by
+    Rows with a null id, repeated rows and ties are paths like any other; long texts are scanned whole, however many findings they have;
+    other columns are not read, whatever their names; an empty table gives no rows. Kinds are stored in the ledger by
     name and version, so rules may be reordered, added or raised to a new version between runs.
     """
     spark = docs.sparkSession
@@ -85,7 +100,8 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES, ledger: str | None = None,
     paths = stage(source.select("__id", "blob"), "paths")
     blobs = paths.groupBy("blob").agg(F.min("__id").alias("__rep"))
     wanted = F.array(*[F.lit(r.key) for r in rules])
-    if (known := _read_ledger(spark, ledger)) is not None:
+    known = _read_ledger(spark, ledger)
+    if known is not None:
         seen = known.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("scanned"))).alias("__seen"))
         blobs = blobs.join(seen, "blob", "left").select("blob", "__rep", F.array_except(wanted, F.coalesce("__seen", F.array().cast("array<string>"))).alias("todo"))
     else:
@@ -100,7 +116,10 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES, ledger: str | None = None,
 
     # blobs without findings need no row in the join; repeated scans of a blob count once
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.key), F.lit(i))])
-    hits = _read_ledger(spark, ledger).where(F.size("findings") > 0).select("blob", F.explode("findings").alias("f"))
+    hits = _read_ledger(spark, ledger).where(F.size("findings") > 0)
+    if known is not None:  # an older ledger holds blobs of other runs, too
+        hits = hits.join(paths.select("blob"), "blob", "left_semi")
+    hits = hits.select("blob", F.explode("findings").alias("f"))
     hits = hits.select("blob", F.struct(F.col("f.start").alias("start"), order[F.col("f.rule")].alias("kind"), F.col("f.end").alias("end")).alias("f")).where("f.kind is not null")
     hits = stage(hits.groupBy("blob").agg(F.array_sort(F.collect_set("f")).alias("findings")).withColumnRenamed("blob", "__blob"), "hits")
     none = F.array().cast("array<struct<start:long,kind:int,end:long>>")

@@ -307,6 +307,21 @@ def test_ledger_scans_each_pair_once(spark, tmp_path):
     assert secrets.scan(table(spark, []), secrets.BASE, at).count() == 0
 
 
+def test_long_text_with_many_findings(spark):
+    rnd = random.Random(8)
+    text = "é".join(rnd.choice(["token=abcdef", "key ", "AKIA" + "Q" * 16, "0" * 24 + " ", "secret: ab, ", "d" * 30]) for _ in range(60_000))
+    for t in (text, "token=abcdef" + "é token=abcdef" * (secrets.PART - 1), "token=abcdef" + "é token=abcdef" * secrets.PART):
+        r = secrets.scan(table(spark, [(1, t, "en", "a")]), secrets.BASE).first()
+        assert [(f["start"], f["kind"], f["end"]) for f in r["findings"]] == slow_spans(t)
+
+
+def test_old_ledgers_give_findings_of_this_run_only(spark, tmp_path):
+    at = str(tmp_path / "ledger")
+    secrets.scan(table(spark, [(i, f"token=abcdef{i}", "en", "a") for i in range(9)]), secrets.BASE, at).count()
+    got = secrets.scan(table(spark, [(20, "token=abcdef3", "en", "a"), (21, "none", "en", "a"), (22, "token=abcdef3", "en", "a")]), secrets.BASE, at)
+    assert sorted((r["doc_id"], len(r["findings"])) for r in got.collect()) == [(20, 1), (21, 0), (22, 1)]
+
+
 def test_assignments_in_capitals_alone(spark, tmp_path):
     texts = ["PASSWORD=hunter22", "DB_PASSWORD: abcdef1", "PASSWD=abcdef1", "passWord=abcdef1", "passwd=abcdef1", "SECRET\"  : 'abcdef1", "API_KEY=abcdef1", "TOKENS=abcdef1", "KEYS=abcdef1"]
     df, at = table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), str(tmp_path / "ledger")
