@@ -42,10 +42,13 @@ def status_counts(classified: DataFrame) -> DataFrame:
 
 
 def structural_duplicates(factors: DataFrame) -> DataFrame:
-    """factors: pos, factor_id, expression. Adds expression_hash and is_first (the first of its expression)."""
+    """factors: pos (distinct), factor_id, expression. Adds expression_hash and is_first (the first of its expression). The least pos
+    of each expression is found before the shuffle, so that one that many factors share does not meet in a task."""
     h = F.sha2(F.regexp_replace(F.lower("expression"), r"\s+", ""), 256)
-    first = F.row_number().over(Window.partitionBy("expression_hash").orderBy("pos")) == 1
-    return factors.withColumn("expression_hash", h).withColumn("is_first", first)
+    hashed = factors.withColumn("expression_hash", h)
+    least = hashed.groupBy(F.col("expression_hash").alias("__hash")).agg(F.min("pos").alias("__least"))
+    out = hashed.join(least, F.col("expression_hash").eqNullSafe(F.col("__hash")))
+    return out.withColumn("is_first", F.col("pos") == F.col("__least")).drop("__hash", "__least")
 
 
 def daily_means(values: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +21,7 @@ from barloom.plans.compiler import evaluate_all, with_expressions
 from barloom.plans.expressions import FIELDS, complexity, parse
 from barloom.plans.sql import BARS, USER_DAYS, WEEKS, corr_sql, expression_sql
 from barloom.sources.panels import bars_lineitem, bars_user_day
-from barloom.sources.readers import DataRequest, SyntheticSource, apply_request, preview
+from barloom.sources.readers import DataRequest, FileSource, SyntheticSource, apply_request, preview
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -95,25 +97,18 @@ add("top_preview", lambda s, d: preview(months(s, d).orderBy("symbol", "trade_da
 
 
 def src_roundtrip(fmt: str) -> Query:
-    """Bars written as text in the shared folder and read back by the panel reader."""
+    """Bars written as text in the shared folder and read back by the panel's file source."""
 
     def run(s: SparkSession, d: str) -> DataFrame:
-        import uuid
-
         at = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir")
         if not at:
-            import tempfile
-
+            if not s.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             at = tempfile.mkdtemp(prefix="spark-")
         path = f"{at}/bars-{uuid.uuid4().hex}.{fmt}"
         bars = months(s, d).select(*BAR_COLUMNS)
-        if fmt == "csv":
-            bars.write.option("header", True).csv(path)
-            raw = s.read.option("header", True).csv(path)
-        else:
-            bars.write.json(path)
-            raw = s.read.option("primitivesAsString", True).json(path)
-        return pn.normalize(raw).select(*BAR_COLUMNS)
+        bars.write.option("header", True).csv(path) if fmt == "csv" else bars.write.json(path)
+        return FileSource((f".{fmt}",)).load(s, DataRequest(path)).select(*BAR_COLUMNS)
 
     return run
 
@@ -222,34 +217,29 @@ add("factor_all_long", factor_all_long, f"WITH {long_sql()} SELECT factor_id, sy
 # --- the registry's texts
 
 
-def _factor_rows(s: SparkSession, d: str) -> DataFrame:
-    """The built-in expressions with their uses: how many bars of the panel they have values for."""
-    wide = with_expressions(months(s, d), SEED_EXPRESSIONS)
-    counts = wide.agg(*[F.count(f).alias(f) for f in SEED_EXPRESSIONS])
-    rows = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(f).alias("factor_id"), F.lit(e).alias("expression"), F.col(f).alias("n_values")) for i, (f, e) in enumerate(SEED_EXPRESSIONS.items())])
-    # each again in other spacing and case: structural copies
-    copies = F.array(*[F.struct(F.lit(100 + i).alias("pos"), F.lit(f"copy_{i:03d}").alias("factor_id"), F.lit(e.replace(",", " , ").upper()).alias("expression"), F.col(f).alias("n_values")) for i, (f, e) in enumerate(SEED_EXPRESSIONS.items())])
-    return counts.select(F.inline(F.concat(rows, copies)))
-
-
-def expr_hash(s: SparkSession, d: str) -> DataFrame:
-    return sc.structural_duplicates(_factor_rows(s, d)).select("factor_id", "expression_hash", "n_values")
+CANDIDATE_FUNCTIONS, CANDIDATE_FIELDS = ("ts_mean", "TS_STD", "ts_max", "ts_Min", "delta"), ("close", "Open", "high")
 
 
-def dedup_structural(s: SparkSession, d: str) -> DataFrame:
-    return sc.structural_duplicates(_factor_rows(s, d)).where("is_first").select("factor_id", "n_values")
+def _candidates(s: SparkSession, d: str) -> DataFrame:
+    """A candidate expression for every order, written from its values; some differ from others in spacing and case alone."""
+    pick = lambda names, c: F.get(F.array(*map(F.lit, names)), (F.col(c) % len(names)).cast("int"))
+    whole = lambda c: c.cast("long").cast("string")
+    gap = F.when(F.col("o_orderstatus") == "O", F.lit(" , ")).otherwise(F.lit(","))
+    text = F.concat(pick(CANDIDATE_FUNCTIONS, "o_custkey"), F.lit("("), pick(CANDIDATE_FIELDS, "o_custkey"), gap, whole(F.col("o_orderkey") % 20 + 2), F.lit(") / "), whole(F.floor(F.col("o_totalprice") / 10_000)), F.lit(" - 1"))
+    return s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("pos"), F.concat(F.lit("f"), whole(F.col("o_orderkey"))).alias("factor_id"), text.alias("expression"))
 
 
-def _rows_sql() -> str:
-    one = " UNION ALL ".join(
-        f"SELECT {p + i} AS pos, '{f if not p else f'copy_{i:03d}'}' AS factor_id, '{e if not p else e.replace(',', ' , ').upper()}' AS expression, count({f}) AS n_values FROM panel"
-        for p in (0, 100) for i, (f, e) in enumerate(SEED_EXPRESSIONS.items())
-    )
-    return f"WITH {expression_sql(SEED_EXPRESSIONS, BARS)}, f AS ({one}), h AS (SELECT *, sha256(regexp_replace(lower(expression), '\\s+', '', 'g')) AS expression_hash FROM f)"
+def _candidates_sql() -> str:
+    pick = lambda names, c: f"list_extract([{', '.join(map(repr, names))}], CAST({c} % {len(names)} AS INTEGER) + 1)"
+    gap = "CASE WHEN o_orderstatus = 'O' THEN ' , ' ELSE ',' END"
+    text = f"{pick(CANDIDATE_FUNCTIONS, 'o_custkey')} || '(' || {pick(CANDIDATE_FIELDS, 'o_custkey')} || {gap} || (o_orderkey % 20 + 2) || ') / ' || CAST(floor(o_totalprice / 10000) AS BIGINT) || ' - 1'"
+    return f"""WITH f AS (SELECT o_orderkey AS pos, 'f' || o_orderkey AS factor_id, {text} AS expression FROM orders),
+h AS (SELECT *, sha256(regexp_replace(lower(expression), '\\s+', '', 'g')) AS expression_hash FROM f)"""
 
 
-add("expr_hash", expr_hash, f"{_rows_sql()} SELECT factor_id, expression_hash, n_values FROM h")
-add("dedup_structural", dedup_structural, f"{_rows_sql()} SELECT factor_id, n_values FROM h QUALIFY row_number() OVER (PARTITION BY expression_hash ORDER BY pos) = 1")
+add("expr_hash", lambda s, d: sc.structural_duplicates(_candidates(s, d)).select("factor_id", "expression_hash"), f"{_candidates_sql()} SELECT factor_id, expression_hash FROM h")
+add("dedup_structural", lambda s, d: sc.structural_duplicates(_candidates(s, d)).where("is_first").select("factor_id", "expression"),
+    f"{_candidates_sql()} SELECT factor_id, expression FROM h QUALIFY row_number() OVER (PARTITION BY expression_hash ORDER BY pos) = 1")
 
 # --- evaluation
 
@@ -472,6 +462,24 @@ SELECT n_days, {r('coalesce(annual_return, 0)', 'annual_return')}, {r('annual_vo
 for _st in bt.STRATEGIES:
     add(f"port_summary_{SHORT[_st]}", port_summary(_st), summary_port_sql(_st))
 
+
+
+def port_prices(strategy: str) -> Query:
+    """The days of a back-test on the months' own prices. Their returns compound beyond what a fixed number of places can hold, so growth is
+    given as a logarithm (none where all is lost)."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        v = bt.with_daily_return(with_expressions(months(s, d), {"factor_value": BT_EXPRESSION})).select("symbol", "trade_date", "factor_value", "daily_return")
+        days = bt.daily_returns(v, bt.build_weights(v, strategy, PORTFOLIO), PORTFOLIO)
+        left = F.col("cumulative") + 1
+        return rounded(days.select("trade_date", "gross", "cost", F.when(left > 0, F.ln(left)).alias("growth")), 6)
+
+    return run
+
+
+for _st in bt.STRATEGIES:
+    add(f"port_prices_{SHORT[_st]}", port_prices(_st), f"WITH {port_sql(_st).replace(INDEX, BARS)} SELECT trade_date, {_rounds(['gross', 'cost'])}, {r('CASE WHEN cumulative + 1 > 0 THEN ln(cumulative + 1) END', 'growth', 6)} FROM y")
+
 # --- quality gate
 
 
@@ -491,10 +499,10 @@ add("q_near_constant", lambda s, d: q_stats(s, d).select("factor_id", "near_cons
 
 def q_complexity(s: SparkSession, d: str) -> DataFrame:
     e = F.col("expression")
-    return _factor_rows(s, d).select("factor_id", (F.length(e) - F.length(F.translate(e, "(+-*/", ""))).cast("long").alias("complexity"), "n_values")
+    return _candidates(s, d).select("factor_id", (F.length(e) - F.length(F.translate(e, "(+-*/", ""))).cast("long").alias("complexity"))
 
 
-add("q_complexity", q_complexity, f"{_rows_sql()} SELECT factor_id, length(expression) - length(translate(expression, '(+-*/', '')) AS complexity, n_values FROM h")
+add("q_complexity", q_complexity, f"{_candidates_sql()} SELECT factor_id, length(expression) - length(translate(expression, '(+-*/', '')) AS complexity FROM h")
 
 
 def truncation(expressions: dict[str, str]) -> Query:

@@ -10,7 +10,7 @@ from barloom.streaming.bars import streaming_bars
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SOME = ["src_panel_months", "src_normalized", "flt_symbols_in", "val_missing_rates", "val_ohlc_logic", "ts_rank", "ts_corr", "cs_rank_date", "cs_winsorize_symbol", "op_compare", "op_bool", "ts_missing_values",
-        "factor_017", "expr_hash", "daily_rankic", "metrics_all", "classify", "factor_corr_pairs", "dedup_numerical", "oos_decay", "weights_long_short", "port_summary_long_short", "q_truncation_rank"]
+        "factor_017", "src_csv_roundtrip", "src_json_roundtrip", "expr_hash", "dedup_structural", "q_complexity", "daily_rankic", "metrics_all", "classify", "factor_corr_pairs", "dedup_numerical", "oos_decay", "weights_long_short", "port_summary_long_short", "port_prices_long_short", "port_prices_bottom", "q_truncation_rank"]
 
 
 @pytest.fixture(scope="module")
