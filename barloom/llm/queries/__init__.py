@@ -1,6 +1,6 @@
 """Registered queries of the corpus operators and their SQL."""
 
-from barloom.llm.queries import base, texts
+from barloom.llm.queries import audits, base, texts
 
-QUERIES = {**base.QUERIES, **texts.QUERIES}
-SQL = {**base.SQL, **texts.SQL}
+QUERIES = {**base.QUERIES, **texts.QUERIES, **audits.QUERIES}
+SQL = {**base.SQL, **texts.SQL, **audits.SQL}
