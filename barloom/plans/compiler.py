@@ -2,7 +2,8 @@
 
 All expressions of a call share their subexpressions: each distinct window function is one column. Windows are levelled by
 depth, one select a level, and all time windows share partitioning and order, so that any number of
-expressions costs one exchange and one sort by symbol and date.
+expressions costs one exchange and one sort by symbol and date. Windows of more than rolling.LONG rows are put together from running states
+instead of being walked for every row; they add sorts within the same exchange.
 """
 
 from __future__ import annotations
@@ -10,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions import series
-from barloom.plans.expressions import LAGS, Node, parse
+from barloom.functions import rolling, series
+from barloom.plans.expressions import LAGS, PAIRED, ROLLING, Node, parse
 
 SCOPES = {"symbol": "symbol", "date": "trade_date"}
 
@@ -86,7 +87,13 @@ def with_expressions(panel: DataFrame, expressions: dict[str, str | Node], scope
     out = panel
     for level in sorted({x.depth for x in wanted}):
         here = {x: f"__w{len(c.names) + i}" for i, x in enumerate(w for w in wanted if w.depth == level)}
-        out = out.withColumns({name: c.build(x) for x, name in here.items()})
+        long = {x for x in here if x.name in ROLLING | PAIRED and x.n > rolling.LONG}
+        if short := {name: c.build(x) for x, name in here.items() if x not in long}:
+            out = out.withColumns(short)
+        for n in sorted({x.n for x in long if x.name != "ts_rank"}):
+            out = rolling.rolling(out, {here[x]: (x.name, [c.number(a) for a in x.args]) for x in here if x in long and x.name != "ts_rank" and x.n == n}, n)
+        if ranks := {here[x]: (c.number(x.args[0]), x.n) for x in here if x in long and x.name == "ts_rank"}:
+            out = rolling.rolling_rank(out, ranks)
         c.names.update(here)
     return out.select(*panel.columns, *[c.number(t).cast("double").alias(name) for name, t in trees.items()])
 
