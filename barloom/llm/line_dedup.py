@@ -26,7 +26,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     A key of min_chars code points or more that min_docs documents or more hold loses all its lines except
     in the document with the smallest id. Documents are told apart by id: rows that repeat an id are one
     document, each with its own text. Null texts are one empty line. Rows with a null id keep their text and
-    count for nothing. Columns n_lines and n_dropped of docs, if any, are replaced.
+    count for nothing. Columns n_lines and n_dropped of docs, if any, are replaced; all other columns
+    are kept. Long texts cost as much a line as short ones. Of equal ids (ties) none comes first: they hold a line together. An empty table gives
+    an empty one.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.split(body, F.lit("\n"), -1)
@@ -52,8 +54,13 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     out = docs.drop("n_lines", "n_dropped").withColumn("__barloom_body", F.xxhash64(body))
     out = out.join(drops.withColumnsRenamed(own), (F.col(doc_id) == F.col("__barloom_id")) & (F.col("__barloom_body") == F.col("__barloom_of")), "left")
     n = F.size(lines)
-    left = F.array_except(F.sequence(F.lit(0), n - 1), F.col("__barloom_drop"))
-    kept = F.when(F.col("__barloom_drop").isNull(), body).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+
+    def joined(held: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(held) - 1), F.col("__barloom_drop"))
+        return F.array_join(F.transform(left, lambda i: F.get(held, i)), "\n")
+
+    # the lines are bound once: named inside the inner function, the text would be split again for every line
+    kept = F.when(F.col("__barloom_drop").isNull(), body).otherwise(F.get(F.transform(F.array(lines), joined), F.lit(0)))
     return out.withColumns(
         {"n_lines": n.cast("long"), "n_dropped": F.when(F.col("__barloom_drop").isNull(), F.lit(0)).otherwise(F.size("__barloom_drop")).cast("long"), text: kept}
     ).drop("__barloom_id", "__barloom_of", "__barloom_body", "__barloom_drop")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 import pytest
@@ -258,6 +259,19 @@ def test_line_dedup_odd_tables(spark):
     assert {(r["doc_id"], r["text"]) for r in out if r["doc_id"] in (None, 1, 3)} == {(None, "no id at all here"), (None, ""), (1, ""), (3, "one")}
 
 
+def test_line_dedup_of_a_text_of_many_lines(spark):
+    shared = "a line that both of them hold"
+    rows = [(i, "\n".join([f"line {i} of number {j} in it" for j in range(200_000)] + [shared])) for i in (1, 2)]
+    df = table(spark, [(i, t, "en", "a") for i, t in rows]).select("doc_id", "text").cache()
+    df.count()
+    began = time.perf_counter()
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in line_dedup.dedup_lines(df).collect()}
+    took = time.perf_counter() - began
+    df.unpersist()
+    assert got == {1: (200_001, 0, rows[0][1]), 2: (200_001, 1, rows[1][1][: -len(shared) - 1])}
+    assert took < 60  # about 5 s; it was over an hour when every line split the text again
+
+
 def oracle(spark, query, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
