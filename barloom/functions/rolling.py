@@ -3,8 +3,8 @@
 A bounded frame is walked again for every row. Here a symbol's rows are cut into chunks as long as the window, so that each window is the end of
 one chunk and the beginning of the next: running states from the front and from the back of each chunk, one step a row, give both parts, and
 two states make one. States are merged, never subtracted, so no digits are lost on large values or after them:
-variances and covariances are kept as counts, means and central moments, means as differences from the chunk's first value (so that equal
-values have no spread at all). Everything stays in the symbol's one exchange; sorts within it meet nearly sorted rows.
+variances and covariances are kept as counts, means and central moments of the differences from the chunk's first value (so that equal
+values have no spread at all, and large ones keep that of their last digits). Everything stays in the symbol's one exchange; sorts within it meet nearly sorted rows.
 
 A value's rank in a long window needs an order statistic, which no running state has: ranks come from a sorted list of the window's values that
 each row enters and leaves by binary search, in Arrow batches of sorted partitions.
@@ -28,13 +28,14 @@ State = dict[str, Column]
 
 
 def _moments(values: list[Column], firsts: list[Column], w: Window) -> State:
-    """Count, means and central moments of pairs (or of single values) up to here."""
-    x, n = values[0], F.count(values[0]).over(w)
+    """Count, first values, means above them and central moments of pairs (or of single values) up to here."""
+    n = F.count(values[0]).over(w)
     out = {"n": n}
-    for name, v, first in zip("xy", values, firsts, strict=False):
-        out |= {f"m{name}": first + F.avg(v - first).over(w), f"q{name}": F.var_pop(v).over(w) * n}
+    small = [v - first for v, first in zip(values, firsts, strict=True)]
+    for name, v, first in zip("xy", small, firsts, strict=False):
+        out |= {f"f{name}": first, f"m{name}": F.avg(v).over(w), f"q{name}": F.var_pop(v).over(w) * n}
     if len(values) > 1:
-        out["c"] = F.covar_pop(x, values[1]).over(w) * n
+        out["c"] = F.covar_pop(*small).over(w) * n
     return out
 
 
@@ -44,7 +45,7 @@ def _merged(a: State, b: State) -> State:
     share = a["n"] * b["n"] / F.nullif(n, F.lit(0))
     zero = F.lit(0.0)
     out = {"n": n}
-    apart = {name: b[f"m{name}"] - a[f"m{name}"] for name in "xy" if f"m{name}" in a}
+    apart = {x: (b[f"f{x}"] - a[f"f{x}"]) + (b[f"m{x}"] - a[f"m{x}"]) for x in "xy" if f"m{x}" in a}
     for name, d in apart.items():
         out[f"q{name}"] = F.coalesce(a[f"q{name}"], zero) + F.coalesce(b[f"q{name}"], zero) + F.coalesce(d * d * share, zero)
     if "c" in a:

@@ -1,12 +1,13 @@
 """The quality gate: nine checks of a factor in order; the first that fails is reported.
 
 Checks of the text run on the driver. Checks of values run for all factors at once: one aggregation for missing values,
-infinities and spread, and for the look-ahead test one run over all rows and one for each test date.
+infinities and spread, and for the look-ahead test one run over all rows and one over those within reach of the test dates.
 """
 
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -18,6 +19,7 @@ from barloom.functions.series import guarded_corr
 from barloom.library import Factor
 from barloom.plans.compiler import with_expressions
 from barloom.plans.expressions import FORBIDDEN, ExpressionError, complexity, looks_at_whole_series, parse, windows
+from barloom.plans.slices import look_back, up_to_dates
 
 # Expressions that the gate must reject.
 BAD_FACTORS = {
@@ -80,12 +82,15 @@ def sample_stats(panel: DataFrame, expressions: dict[str, str], scope: str, c: Q
     return {name: {"n": row["n"], "valid": row[f"valid{i}"] or 0.0, "inf": row[f"inf{i}"], "sd": row[f"sd{i}"]} for i, name in enumerate(expressions)}
 
 
-def truncation_dates(panel: DataFrame, k: int, seed: int = 42) -> list[Any]:
-    """Up to k test dates after the first LEAST_DATES, drawn without replacement; none for a shorter panel."""
+def truncation_dates(panel: DataFrame, k: int, seed: int | None = 42) -> list[Any]:
+    """Up to k test dates after the first LEAST_DATES, drawn without replacement (seed None: at even steps); none for a shorter panel."""
     days = [r[0] for r in panel.select("trade_date").where("trade_date is not null").distinct().orderBy("trade_date").collect()]
-    if len(days) < LEAST_DATES:
+    left = len(days) - LEAST_DATES
+    if left <= 0:
         return []
-    picked = np.random.default_rng(seed).choice(np.arange(LEAST_DATES, len(days)), size=min(k, len(days) - LEAST_DATES), replace=False) if len(days) > LEAST_DATES else []
+    if seed is None:
+        return [days[LEAST_DATES + i * left // min(k, left)] for i in range(min(k, left))]
+    picked = np.random.default_rng(seed).choice(np.arange(LEAST_DATES, len(days)), size=min(k, left), replace=False)
     return [days[i] for i in sorted(picked)]
 
 
@@ -93,20 +98,30 @@ def truncation_test(panel: DataFrame, expressions: dict[str, str], dates: list[A
     """factor_id, trade_date, n, max_diff, correlation: values at each date computed on all rows against those computed on
     rows up to that date. Only symbols with both values count, and only dates with two of them.
 
-    The full run is shared by all dates; every date's run sees the rows before it only.
+    The full run is shared by all dates. Expressions with a bounded look-back are computed for all dates in one pass over copies of the rows
+    within reach of each; those that read a symbol's whole history, or rank dates, take one run for each date.
     """
-    names = {f"__f{i}": e for i, e in enumerate(expressions.values())}
-    ids = list(expressions)
-
-    def long(df: DataFrame, value: str) -> DataFrame:
-        return df.select("symbol", "trade_date", F.inline(F.array(*[F.struct(F.lit(ids[i]).alias("factor_id"), F.col(n).alias(value)) for i, n in enumerate(names)])))
-
-    full = long(with_expressions(panel, names, scope).where(F.col("trade_date").isin(dates)), "whole")
-    parts = None
-    for d in dates:
-        part = long(with_expressions(panel.where(F.col("trade_date") <= F.lit(d)), names, scope).where(F.col("trade_date") == F.lit(d)), "cut")
-        parts = part if parts is None else parts.unionAll(part)
-    both = full.join(parts, ["factor_id", "symbol", "trade_date"]).where("whole is not null and cut is not null")
+    names = {f: f"__f{i}" for i, f in enumerate(expressions)}
+    trees = {f: parse(e) for f, e in expressions.items()}
+    bounded = {f for f, t in trees.items() if look_back(t) is not None}
+    rows = panel.where("symbol is not null")
+
+    def long(df: DataFrame, value: str, some: list[str]) -> DataFrame:
+        return df.select("symbol", "trade_date", F.inline(F.array(*[F.struct(F.lit(f).alias("factor_id"), F.col(names[f]).alias(value)) for f in some])))
+
+    def columns(some: list[str]) -> dict[str, Any]:
+        return {names[f]: trees[f] for f in some}
+
+    every = list(expressions)
+    full = long(with_expressions(rows, columns(every), scope).where(F.col("trade_date").isin(dates)), "whole", every)
+    parts = []
+    if near := [f for f in every if f in bounded]:
+        parts.append(long(up_to_dates(rows, columns(near), dates), "cut", near))
+    if far := [f for f in every if f not in bounded]:
+        for d in dates:
+            cut = with_expressions(rows.where(F.col("trade_date") <= F.lit(d)), columns(far), scope)
+            parts.append(long(cut.where(F.col("trade_date") == F.lit(d)), "cut", far))
+    both = full.join(reduce(DataFrame.unionAll, parts), ["factor_id", "symbol", "trade_date"]).where("whole is not null and cut is not null")
     return both.groupBy("factor_id", "trade_date").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("whole") - F.col("cut"))).alias("max_diff"),
         guarded_corr(F.col("whole"), F.col("cut"), lambda a: a).alias("correlation"),

@@ -18,6 +18,10 @@ SELECT CAST(user_id AS VARCHAR) AS symbol, CAST(ts AS DATE) AS trade_date, first
        min(value) AS low, last(value ORDER BY ts, event_id) AS close, CAST(count(*) AS DOUBLE) AS volume
 FROM events GROUP BY 1, 2"""
 
+EVENTS = """
+SELECT CASE WHEN user_id % 3 = 0 THEN 'all' ELSE CAST(user_id AS VARCHAR) END AS symbol, event_id AS trade_date, value AS open, value AS high, value AS low, value AS close, 1.0::DOUBLE AS volume
+FROM events"""
+
 
 def no_nan(e: str) -> str:
     return f"(CASE WHEN NOT isnan({e}) THEN {e} END)"

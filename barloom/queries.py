@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +17,10 @@ from barloom.operators import scoring as sc
 from barloom.operators.boundary import SampleBoundary
 from barloom.plans.compiler import evaluate_all, with_expressions
 from barloom.plans.expressions import FIELDS, complexity, parse
-from barloom.plans.sql import BARS, USER_DAYS, WEEKS, corr_sql, expression_sql
-from barloom.sources.panels import bars_lineitem, bars_user_day
+from barloom.plans.slices import with_slices
+from barloom.plans.sql import BARS, EVENTS, USER_DAYS, WEEKS, corr_sql, expression_sql
+from barloom.shared import new_path
+from barloom.sources.panels import bars_events, bars_lineitem, bars_user_day
 from barloom.sources.readers import DataRequest, FileSource, SyntheticSource, apply_request, preview
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,12 +100,7 @@ def src_roundtrip(fmt: str) -> Query:
     """Bars written as text in the shared folder and read back by the panel's file source."""
 
     def run(s: SparkSession, d: str) -> DataFrame:
-        at = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not at:
-            if not s.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            at = tempfile.mkdtemp(prefix="spark-")
-        path = f"{at}/bars-{uuid.uuid4().hex}.{fmt}"
+        path = new_path(s, f"bars.{fmt}")
         bars = months(s, d).select(*BAR_COLUMNS)
         bars.write.option("header", True).csv(path) if fmt == "csv" else bars.write.json(path)
         return FileSource((f".{fmt}",)).load(s, DataRequest(path)).select(*BAR_COLUMNS)
@@ -196,6 +191,8 @@ for _name, _e in SCOPED.items():
         add(f"{_name}_{_scope}", expression_query(_e, _scope), expression_oracle(_e, _scope))
 add("ts_gaps_user_days", expression_query("ts_mean(ret(close, 1), 5)", source=bars_user_day), expression_oracle("ts_mean(ret(close, 1), 5)", source=USER_DAYS))
 add("ts_missing_values", expression_query("ts_std(close, 6)", source=with_gaps), expression_oracle("ts_std(close, 6)", source=GAPS))
+SLICED = "div(sub(close, ts_mean(close, 100)), add(ts_std(delay(close, 3), 80), 1)) + ts_rank(close, 90) + corr(close, delay(close, 1), 70)"
+add("ts_slices_events", lambda s, d: rounded(with_slices(bars_events(s, d), {"value": SLICED}).select("symbol", "trade_date", "value")), expression_oracle(SLICED, source=EVENTS))
 for _i, (_n, _l, _e, _d) in enumerate(SEEDS, 1):
     add(f"factor_{_i:03d}", expression_query(_e), expression_oracle(_e))
 
@@ -505,23 +502,31 @@ def q_complexity(s: SparkSession, d: str) -> DataFrame:
 add("q_complexity", q_complexity, f"{_candidates_sql()} SELECT factor_id, length(expression) - length(translate(expression, '(+-*/', '')) AS complexity FROM h")
 
 
+TEST_DATES = QualityConfig().truncation_test_dates
+
+
 def truncation(expressions: dict[str, str]) -> Query:
-    """Values at the last date of the train period, with and without the later rows."""
+    """Values at ten dates, with and without the later rows."""
 
     def run(s: SparkSession, d: str) -> DataFrame:
-        import datetime
-
         p = months(s, d)
-        out = ql.truncation_test(p, expressions, [datetime.date(1998, 12, 1)])
-        return rounded(out.select("factor_id", "trade_date", "n", "max_diff", (F.col("max_diff") > TOLERANCE).alias("leaks")), 6)
+        out = ql.truncation_test(p, expressions, ql.truncation_dates(p, TEST_DATES, seed=None))
+        return rounded(out.select("factor_id", "trade_date", "n", "max_diff", "correlation", (F.col("max_diff") > TOLERANCE).alias("leaks")), 6)
 
     return run
 
 
 def truncation_sql(expressions: dict[str, str]) -> str:
-    ends = "SELECT '{f}' AS factor_id, l.trade_date, count(*) AS n, round(max(abs(l.{f} - r.{f})), 6) AS max_diff, max(abs(l.{f} - r.{f})) > {most} AS leaks FROM whole l JOIN cut r USING (symbol, trade_date) WHERE l.trade_date = DATE '1998-12-01' AND l.{f} IS NOT NULL AND r.{f} IS NOT NULL GROUP BY 2 HAVING count(*) >= 2"
-    cut = f"SELECT * FROM ({BARS}) WHERE trade_date <= DATE '1998-12-01'"
-    return f"WITH {expression_sql(expressions, BARS, name='whole')}, {expression_sql(expressions, cut, name='cut')} " + " UNION ALL ".join(ends.format(f=f, most=TOLERANCE) for f in expressions)
+    """Every date has a copy of all rows up to it, under symbols of its own."""
+    dates = f"""days AS MATERIALIZED (SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS i, count(*) OVER () - {ql.LEAST_DATES} AS n FROM (SELECT DISTINCT trade_date FROM ({BARS}))),
+dates AS MATERIALIZED (SELECT trade_date AS d FROM days WHERE i IN (SELECT {ql.LEAST_DATES} + (j * n) // least({TEST_DATES}, n) FROM range({TEST_DATES}) t(j), (SELECT max(n) AS n FROM days) WHERE j < least({TEST_DATES}, n)))"""
+    cut = f"SELECT b.symbol || '|' || d AS symbol, b.symbol AS of_symbol, d, b.trade_date, open, high, low, close, volume, amount FROM ({BARS}) b JOIN dates ON b.trade_date <= d"
+    one = (
+        "SELECT '{f}' AS factor_id, l.trade_date, count(*) AS n, round(max(abs(l.{f} - r.{f})), 6) AS max_diff, round({corr}, 6) AS correlation, max(abs(l.{f} - r.{f})) > {most} AS leaks "
+        "FROM whole l JOIN cut r ON l.symbol = r.of_symbol AND l.trade_date = r.trade_date WHERE r.trade_date = r.d AND l.{f} IS NOT NULL AND r.{f} IS NOT NULL GROUP BY 2 HAVING count(*) >= 2"
+    )
+    ends = [one.format(f=f, most=TOLERANCE, corr=corr_sql(f"l.{f}", f"r.{f}")) for f in expressions]
+    return f"WITH {dates}, {expression_sql(expressions, BARS, name='whole')}, {expression_sql(expressions, cut, name='cut')} " + " UNION ALL ".join(ends)
 
 
 TS_SEEDS = {f: e for f, e in SEED_EXPRESSIONS.items() if f not in ("seed_021",)}
