@@ -11,7 +11,7 @@ least density on the path from the body to it is the threshold. The text is the
 that reach the threshold below the same article (or body, where the core stands in no article).
 
 Tags and class names choose nothing, they only prune: parts that never hold an article (forms, asides, what is hidden, parts
-named as adverts or comments) are cut out of the text chosen, and a core inside such a part yields to the next. A name is not believed
+named as adverts or comments) are cut out of the text chosen, and a core inside such a part yields to the next. A name, or a form, header or hidden part, is not believed
 where it stands for most of the page's text. Reading, densities and pruning are linear in the page.
 """
 
@@ -52,29 +52,49 @@ FIRM = set("cookie cookies consent gdpr comment comments commentlist disqus resp
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)|([^<]+|<)""", re.S
 )
-MARK_ATTR = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+NAMED = ("class", "id", "role", "aria-label")
+#: Of the dropped elements, those that may stand around a whole page; so may a header outside an article and what is hidden.
+WRAPS = set("form fieldset dialog".split())
+#: And those whose text is no article even on a page without any.
+NEVER = set("head nav footer menu button select option label input".split())
 #: End tags of raw elements, in the source as it stands (lower-casing all of it would shift offsets).
 RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 
 
-def _marked(tag: str, attrs: str, inside_article: bool) -> bool:
-    """Whether a part is left out whatever its names say: by its tag, or as it is hidden."""
-    return tag in DROPPED or (tag == "header" and not inside_article) or bool(attrs and HIDDEN.search(attrs))
+def _attributes(attrs: str) -> dict[str, str]:
+    """By lower-case name, the first of each."""
+    out: dict[str, str] = {}
+    for m in ATTR.finditer(attrs):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
 
 
-def _names(tag: str, attrs: str, inside_article: bool) -> dict[str, bool]:
+def _marked(tag: str, attrs: dict[str, str], inside_article: bool) -> tuple[bool, str]:
+    """Whether a part is left out whatever it holds, and the mark of one that is left out unless it holds most of the page: by its tag, or
+    as it is hidden."""
+    if tag in WRAPS or (tag == "header" and not inside_article):
+        return False, f"<{tag}>"
+    if tag in DROPPED:
+        return True, ""
+    if "hidden" in attrs or attrs.get("aria-hidden", "").strip().lower() == "true" or UNSEEN.search(attrs.get("style", "")):
+        return False, "hidden"
+    return False, ""
+
+
+def _names(tag: str, attrs: dict[str, str], inside_article: bool) -> dict[str, bool]:
     """The names of a part that mark it as no article, and whether each is sure: made of such words alone, or with a firm one."""
     found: dict[str, bool] = {}
     if not attrs or tag in ("main", "h1", "h2") or tag == "article" and not inside_article:
         return found
-    for m in MARK_ATTR.finditer(attrs):
-        value = re.sub(r"([a-z])([A-Z])", r"\1-\2", m[1] or m[2] or m[3] or "").lower()
+    for attribute in NAMED:
+        value = re.sub(r"([a-z])([A-Z])", r"\1-\2", attrs.get(attribute, "")).lower()
         for name in value.split():
             words = re.findall(r"[a-z]+", name)
             # names such as has-sidebar or no-ads speak of another part
             if words and words[0] not in ("has", "with", "no", "is") and any(w in MARKS for w in words):
-                if m[0][:4].lower() == "aria":  # a label is one name
+                if attribute == "aria-label":  # a label is one name
                     name, words = value, re.findall(r"[a-z]+", value)
                 found[name] = all(w in MARKS for w in words) or any(w in FIRM for w in words)
     return found
@@ -83,7 +103,7 @@ def _names(tag: str, attrs: str, inside_article: bool) -> dict[str, bool]:
 class Page:
     """The tree of a page as arrays in document order, and its text blocks.
 
-    hard tells which nodes are no article by tag or as hidden, names has the marking names of others: each with whether it is sure.
+    hard tells which nodes are no article by their tag, names has the marks of others (names, hidden, tags that may wrap a page): each with whether it is sure.
     """
 
     def __init__(self, source: str):
@@ -164,8 +184,9 @@ class Page:
             if tag not in INLINE:
                 flush()
             inside_article = bool(depths.get("article") or depths.get("main"))
-            hard = _marked(tag, attrs, inside_article)
-            names = {} if hard else _names(tag, attrs, inside_article)
+            known = _attributes(attrs) if attrs else {}
+            hard, mark = _marked(tag, known, inside_article)
+            names = {} if hard else _names(tag, known, inside_article) | ({mark: False} if mark else {})
             if tag in INLINE and tag != "a" and not hard and not names:
                 continue  # formatting is no structure: its text is its block's
             if tag in INLINE and (hard or names):
@@ -241,6 +262,9 @@ class Page:
                     upto[name] = self._last(i)
         return sure | {i for i, names in self.names.items() if any(2 * held.get(name, 0) <= plain[0] for name in names)}
 
+    def never(self) -> set[int]:
+        return {i for i in self.hard if self.tag[i] in NEVER}
+
     def _last(self, i: int) -> int:
         if not hasattr(self, "_lasts"):
             self._lasts = list(range(len(self.tag)))
@@ -267,19 +291,19 @@ class Page:
                     i != scope and i not in path and (self.densities[i] >= threshold or self.tag[i] in HEADINGS and not self.link_chars[i])
                 )
             elif i != scope and inside[i]:
-                taken[i] = taken[self.parent[i]]
+                taken[i] = i == core or taken[self.parent[i]]
         return "\n\n".join(t for owner, t in self.blocks if not cut[owner] and (taken[owner] or owner == scope))
 
 
 def main_text(source: str | None) -> str:
     """The main text of one page: blocks in page order joined by two line ends; "" for null or empty pages.
 
-    Class names count for nothing if no text is left otherwise.
+    Where no text is left otherwise, names and what is hidden count for nothing, and then neither do tags but those of menus, footers and controls.
     """
     if not source:
         return ""
     page = Page(source)
-    return page.text(page.marks()) or (page.text(page.hard) if page.names else "")
+    return page.text(page.marks()) or (page.text(page.hard) if page.names else "") or (page.text(page.never()) if page.hard else "")
 
 
 def extract(pages: DataFrame, keep: list[str] | None = None, source: str = "html") -> DataFrame:
