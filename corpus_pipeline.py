@@ -31,7 +31,8 @@ def _same(*names: str) -> Column:
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: rows that the base or a certified cutoff rejects go, null and empty texts among them. Every row is judged
-    by its own text and language, whether its id is null or repeated; rows that are alike stay or go together."""
+    by its own text and language, whether its id is null or repeated; rows that are alike stay or go together. Long texts are judged whole; columns
+    beyond COLUMNS are dropped; an empty table stays empty."""
     labels = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     verdicts = quality_rules.judge(_keyed(docs), labels, stage=stage, keep=["__of"]).where("kept")
     verdicts = verdicts.select(*[F.col(c).alias(f"k_{c}") for c in ("doc_id", "__of", "lang")]).distinct()
@@ -41,21 +42,24 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: lines that other documents hold too stay in the first of them only. A document all of whose
     lines stay elsewhere is left as an empty text: this stage drops lines, not documents. Null texts become empty; rows
-    without an id keep their text."""
+    without an id keep their text, and rows that repeat an id are one document. Long texts are split whole; columns beyond COLUMNS are dropped; an empty
+    table stays empty."""
     out = line_dedup.dedup_lines(docs.select(*COLUMNS))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join on five words at 0.8: the smallest doc_id of each group stays. Rows that repeat an id are one
-    document and stay or go together; rows without an id or without words link with nothing and stay."""
+    document and stay or go together; rows without an id or without words link with nothing and stay. Long texts are compared by their whole sets, ties at
+    0.8 link; columns beyond COLUMNS are dropped; an empty table stays empty."""
     others = jaccard.join_groups(docs, k=5, percent=80).where("doc_id <> component_id").select("doc_id")
     return docs.join(others.distinct(), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: every document is repeated as often as the mix takes it, which may be never. Rows with the same id (null
-    included) and text are taken as often as the one of them that is taken most."""
+    included) and text are taken as often as the one of them that is taken most. Null and empty texts have no words to take; long texts count whole; columns
+    beyond COLUMNS are dropped; an empty table stays empty."""
     taken = mixing.mix(_keyed(docs).withColumn("__key", F.struct("doc_id", "__of")), doc_id="__key")
     copies = taken.groupBy("__key").agg(F.max("copies").alias("__copies")).where("__copies > 0")
     copies = copies.select(F.col("__key.doc_id").alias("k_doc_id"), F.col("__key.__of").alias("k___of"), "__copies")
@@ -65,7 +69,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """BPE: the token ids of each text and the hash of what they decode to. Null and empty texts have no tokens; every row,
-    repeated or without an id, gets its own."""
+    repeated or without an id, gets its own. Long texts are encoded whole; columns beyond COLUMNS are dropped; an empty table stays empty."""
     coded = bpe.encode(docs, TOKENIZER, keep=COLUMNS)
     back = bpe.decode(coded, TOKENIZER, [*[c for c in COLUMNS if c != "text"], "n_tokens", "ids"])
     return back.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -79,8 +83,7 @@ STAGES = [
     ("BPE encoding", tokenize),
 ]
 
-#: No SQL: learned cutoffs, Newton iterations and merges. Tests hold the operators against brute force and run all stages on odd tables;
-#: there is no brute-force version of the whole run.
+#: No SQL: learned cutoffs, Newton iterations and merges. Tests hold the whole run against brute force, stage by stage, and run all stages on odd tables.
 ORACLE_SQL = None
 
 
