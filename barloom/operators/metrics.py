@@ -13,9 +13,9 @@ from barloom.functions.series import average_rank, guarded_corr
 from barloom.panel import by_date
 
 LEAST_PAIRS = 5
-#: Factor values that agree in so many significant digits are ties when they are ranked: what they differ in beyond is the order of a sum.
-TIE_DIGITS = 9
 GROUP = ["factor_id", "trade_date"]
+#: What tied() takes as equal unless told otherwise; metrics rank values as they are unless they are given digits.
+TIE_DIGITS = 9
 
 
 def with_forward_return(panel: DataFrame, period: int = 1, fill: bool = True) -> DataFrame:
@@ -30,14 +30,15 @@ def with_forward_return(panel: DataFrame, period: int = 1, fill: bool = True) ->
 
 
 def tied(x: Column, digits: int | None = TIE_DIGITS) -> Column:
-    """x to its leading digits, whatever its size, for ranking (None: x itself). Zero, infinite and extreme values stay."""
+    """x to its leading digits, whatever its size, for ranking (None: x itself): what values differ in beyond may be the order of a sum. Zero, infinite and
+    extreme values stay."""
     if digits is None:
         return x
     scale = F.pow(F.lit(10.0), digits - 1 - F.floor(F.log10(F.abs(x))))
     return F.when(F.abs(x).between(1e-290, 1e290), F.rint(x * scale) / scale).otherwise(x)
 
 
-def daily_ic(values: DataFrame, digits: int | None = TIE_DIGITS) -> DataFrame:
+def daily_ic(values: DataFrame, digits: int | None = None) -> DataFrame:
     """factor_id, trade_date, ic, rankic, n: Pearson and Spearman correlation by date with LEAST_PAIRS pairs or more.
     Ranks are those of tied(factor_value, digits); ic takes the values as they are."""
     pairs = values.where("factor_value is not null and forward_return is not null")
@@ -71,7 +72,7 @@ def coverage(values: DataFrame) -> DataFrame:
     return values.groupBy("factor_id").agg(F.avg(F.col("factor_value").isNotNull().cast("double")).alias("coverage"))
 
 
-def rank_turnover(values: DataFrame, digits: int | None = TIE_DIGITS) -> DataFrame:
+def rank_turnover(values: DataFrame, digits: int | None = None) -> DataFrame:
     """By factor: mean over symbols of the mean absolute change of the symbol's percentage rank between one date and
     the next. A date counts if any symbol has a value; a change needs a value on both. Ranks are those of tied values."""
     held = values.where("factor_value is not null").groupBy(*GROUP, "symbol").agg(F.avg("factor_value").alias("v"))
@@ -83,14 +84,12 @@ def rank_turnover(values: DataFrame, digits: int | None = TIE_DIGITS) -> DataFra
     return moved.groupBy("factor_id", "symbol").agg(F.avg("change").alias("change")).groupBy("factor_id").agg(F.coalesce(F.avg("change"), F.lit(0.0)).alias("turnover"))
 
 
-def all_metrics(values: DataFrame, annualization: float = 252.0) -> DataFrame:
-    """One row for each factor with any valid date; the others are all zeros.
+def all_metrics(values: DataFrame, annualization: float = 252.0, digits: int | None = None) -> DataFrame:
+    """One row for each factor with any valid date; the others are all zeros. Ranks are those of tied values.
 
-    Three aggregations read the values, so they are kept (in memory, on disk beyond it) rather than computed three times;
-    unpersist `values` when done, or clear the session's cache.
+    Three aggregations read the values: the caller writes or caches them first (and frees them) where they are dear to compute.
     """
-    values = values.select("factor_id", "symbol", "trade_date", "factor_value", "forward_return").persist()
-    base = coverage(values).join(rank_turnover(values), "factor_id", "left").join(ic_summary(daily_ic(values), annualization), "factor_id", "left")
+    base = coverage(values).join(rank_turnover(values, digits), "factor_id", "left").join(ic_summary(daily_ic(values, digits), annualization), "factor_id", "left")
     none = F.col("n_valid_dates").isNull()
     cols = [c for c in base.columns if c not in ("factor_id", "n_valid_dates")]
     zeros = {c: F.when(none, F.lit(0.0)).otherwise(F.col(c)) for c in cols}

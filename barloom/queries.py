@@ -19,7 +19,7 @@ from barloom.plans.compiler import evaluate_all, with_expressions
 from barloom.plans.expressions import FIELDS, complexity, parse
 from barloom.plans.slices import with_slices
 from barloom.plans.sql import BARS, EVENTS, USER_DAYS, WEEKS, corr_sql, expression_sql
-from barloom.shared import new_path
+from barloom.shared import new_path, written
 from barloom.sources.panels import bars_events, bars_lineitem, bars_user_day
 from barloom.sources.readers import DataRequest, FileSource, SyntheticSource, apply_request, preview
 
@@ -251,19 +251,36 @@ def values(s: SparkSession, d: str, part: str = "all") -> DataFrame:
 TRAIN, OOS = (f"SELECT * FROM ({BARS}) WHERE trade_date BETWEEN DATE '{a}' AND DATE '{b}'" for a, b in ((BOUNDS.train_start, BOUNDS.train_end), (BOUNDS.oos_start, BOUNDS.oos_end)))
 
 
+#: Registered ranks take values that agree in so many significant digits as ties: two correlations of +1 differ by the order of a sum, which
+#: differs between engines. Rows named raw rank values as they are, for the factors without correlations.
+TIES = 9
+WITHOUT_CORR = [f for f, e in SEED_EXPRESSIONS.items() if "corr(" not in e]
+
+
 def tied_sql(x: str) -> str:
-    scale = f"pow(10.0::DOUBLE, {mt.TIE_DIGITS - 1} - floor(log10(abs({x}))))"
+    scale = f"pow(10.0::DOUBLE, {TIES - 1} - floor(log10(abs({x}))))"
     return f"CASE WHEN abs({x}) BETWEEN 1e-290 AND 1e290 THEN round_even({x} * {scale}, 0) / {scale} ELSE {x} END"
 
 
+def raw_values(s: SparkSession, d: str) -> DataFrame:
+    return values(s, d).where(F.col("factor_id").isin(WITHOUT_CORR))
+
+
+RAW = f"raw AS (SELECT * FROM v WHERE factor_id IN ({', '.join(map(repr, WITHOUT_CORR))}))"
+
+
+def metrics(s: SparkSession, d: str, part: str = "all") -> DataFrame:
+    return mt.all_metrics(written(values(s, d, part), "values"), digits=TIES)
+
+
 def _ranked(x: str) -> str:
     return f"rank() OVER (PARTITION BY factor_id, trade_date ORDER BY {x}) + (count(*) OVER (PARTITION BY factor_id, trade_date, {x}) - 1) / 2.0::DOUBLE"
 
 
-def ic_sql(v: str = "v", out: str = "ic") -> str:
+def ic_sql(v: str = "v", out: str = "ic", ranked: Callable[[str], str] = tied_sql) -> str:
     return f"""{out}_p AS (SELECT * FROM {v} WHERE factor_value IS NOT NULL AND forward_return IS NOT NULL),
-{out}_q AS (SELECT *, {tied_sql('factor_value')} AS tied FROM {out}_p),
-{out}_r AS (SELECT *, {_ranked('tied')} AS rx, {_ranked('forward_return')} AS ry FROM {out}_q),
+{out}_q AS (SELECT *, {ranked('factor_value')} AS x FROM {out}_p),
+{out}_r AS (SELECT *, {_ranked('x')} AS rx, {_ranked('forward_return')} AS ry FROM {out}_q),
 {out} AS (SELECT factor_id, trade_date, {corr_sql('factor_value', 'forward_return')} AS ic, {corr_sql('rx', 'ry')} AS rankic, count(*) AS n FROM {out}_r GROUP BY 1, 2 HAVING count(*) >= 5)"""
 
 
@@ -275,8 +292,8 @@ coalesce(avg(ic) / nullif(stddev_samp(ic), 0), 0) * sqrt(252.0) AS annualized_ic
 FROM {ic} GROUP BY 1)"""
 
 
-def turnover_sql(v: str = "v", out: str = "t") -> str:
-    return f"""{out}_h AS (SELECT factor_id, trade_date, symbol, {tied_sql('avg(factor_value)')} AS x FROM {v} WHERE factor_value IS NOT NULL GROUP BY ALL),
+def turnover_sql(v: str = "v", out: str = "t", ranked: Callable[[str], str] = tied_sql) -> str:
+    return f"""{out}_h AS (SELECT factor_id, trade_date, symbol, {ranked('avg(factor_value)')} AS x FROM {v} WHERE factor_value IS NOT NULL GROUP BY ALL),
 {out}_r AS (SELECT *, ({_ranked('x')}) / count(*) OVER (PARTITION BY factor_id, trade_date) AS r, dense_rank() OVER (PARTITION BY factor_id ORDER BY trade_date) AS i FROM {out}_h),
 {out}_d AS (SELECT factor_id, symbol, CASE WHEN lag(i) OVER w = i - 1 THEN abs(r - lag(r) OVER w) END AS c FROM {out}_r WINDOW w AS (PARTITION BY factor_id, symbol ORDER BY i)),
 {out} AS (SELECT factor_id, coalesce(avg(c), 0) AS turnover FROM (SELECT factor_id, symbol, avg(c) AS c FROM {out}_d GROUP BY 1, 2) GROUP BY 1)"""
@@ -305,18 +322,21 @@ _rounds = lambda cols, p=6: ", ".join(r(c, c, p) for c in cols)
 
 add("fwd_return", lambda s, d: rounded(mt.with_forward_return(months(s, d)).select("symbol", "trade_date", "forward_return")),
     f"SELECT symbol, trade_date, {r('lead(close) OVER (PARTITION BY symbol ORDER BY trade_date) / nullif(close, 0) - 1', 'forward_return')} FROM ({BARS})")
-add("daily_ic", lambda s, d: rounded(mt.daily_ic(values(s, d)).select("factor_id", "trade_date", "ic", "n")), f"WITH {long_sql()}, {ic_sql()} SELECT factor_id, trade_date, {r('ic', 'ic')}, n FROM ic")
-add("daily_rankic", lambda s, d: rounded(mt.daily_ic(values(s, d)).select("factor_id", "trade_date", "rankic", "n")), f"WITH {long_sql()}, {ic_sql()} SELECT factor_id, trade_date, {r('rankic', 'rankic')}, n FROM ic")
-add("icir_summary", lambda s, d: rounded(mt.ic_summary(mt.daily_ic(values(s, d))), 6), f"WITH {long_sql()}, {ic_sql()}, {summary_sql()} SELECT factor_id, n_valid_dates, {_rounds(METRICS)} FROM m")
+add("daily_ic", lambda s, d: rounded(mt.daily_ic(values(s, d), TIES).select("factor_id", "trade_date", "ic", "n")), f"WITH {long_sql()}, {ic_sql()} SELECT factor_id, trade_date, {r('ic', 'ic')}, n FROM ic")
+add("daily_rankic", lambda s, d: rounded(mt.daily_ic(values(s, d), TIES).select("factor_id", "trade_date", "rankic", "n")), f"WITH {long_sql()}, {ic_sql()} SELECT factor_id, trade_date, {r('rankic', 'rankic')}, n FROM ic")
+add("icir_summary", lambda s, d: rounded(mt.ic_summary(mt.daily_ic(values(s, d), TIES)), 6), f"WITH {long_sql()}, {ic_sql()}, {summary_sql()} SELECT factor_id, n_valid_dates, {_rounds(METRICS)} FROM m")
 add("coverage", lambda s, d: rounded(mt.coverage(values(s, d))), f"WITH {long_sql()}, {cover_sql()} SELECT factor_id, {r('coverage', 'coverage')} FROM c")
-add("rank_turnover", lambda s, d: rounded(mt.rank_turnover(values(s, d))), f"WITH {long_sql()}, {turnover_sql()} SELECT factor_id, {r('turnover', 'turnover')} FROM t")
-add("metrics_all", lambda s, d: rounded(mt.all_metrics(values(s, d)), 6), f"WITH {metrics_sql(BARS)} SELECT factor_id, n_valid_dates, {_rounds(ALL_METRICS)} FROM a")
+add("rank_turnover", lambda s, d: rounded(mt.rank_turnover(values(s, d), TIES)), f"WITH {long_sql()}, {turnover_sql()} SELECT factor_id, {r('turnover', 'turnover')} FROM t")
+add("daily_rankic_raw", lambda s, d: rounded(mt.daily_ic(raw_values(s, d)).select("factor_id", "trade_date", "rankic", "n")),
+    f"WITH {long_sql()}, {RAW}, {ic_sql('raw', ranked=str)} SELECT factor_id, trade_date, {r('rankic', 'rankic')}, n FROM ic")
+add("rank_turnover_raw", lambda s, d: rounded(mt.rank_turnover(raw_values(s, d))), f"WITH {long_sql()}, {RAW}, {turnover_sql('raw', ranked=str)} SELECT factor_id, {r('turnover', 'turnover')} FROM t")
+add("metrics_all", lambda s, d: rounded(metrics(s, d), 6), f"WITH {metrics_sql(BARS)} SELECT factor_id, n_valid_dates, {_rounds(ALL_METRICS)} FROM a")
 
 # --- scoring, deduplication, out-of-sample
 
 
 def scored(s: SparkSession, d: str) -> DataFrame:
-    return sc.classify(sc.composite_score(mt.all_metrics(values(s, d, "train"))))
+    return sc.classify(sc.composite_score(metrics(s, d, "train")))
 
 
 def score_sql() -> str:
@@ -339,10 +359,9 @@ add("factor_corr_pairs", lambda s, d: rounded(sc.correlation_pairs(sc.daily_mean
 
 
 def dedup_numerical(s: SparkSession, d: str) -> DataFrame:
-    v = values(s, d, "train").persist()
-    info = {x["factor_id"]: {"score": x["composite_score"], "coverage": x["coverage"], "turnover": x["turnover"], "length": len(SEED_EXPRESSIONS[x["factor_id"]])} for x in sc.composite_score(mt.all_metrics(v)).collect()}
+    v = written(values(s, d, "train"), "values")
+    info = {x["factor_id"]: {"score": x["composite_score"], "coverage": x["coverage"], "turnover": x["turnover"], "length": len(SEED_EXPRESSIONS[x["factor_id"]])} for x in sc.composite_score(mt.all_metrics(v, digits=TIES)).collect()}
     kept, removed = sc.numerical_dedup(list(SEED_EXPRESSIONS), sc.correlation_pairs(sc.daily_means(v)), info)
-    v.unpersist()
     return s.createDataFrame([(f, True) for f in kept] + [(f, False) for f in removed], "factor_id string, kept boolean")
 
 
@@ -363,7 +382,7 @@ add("dedup_numerical", dedup_numerical, dedup_sql())
 
 
 def oos(s: SparkSession, d: str) -> DataFrame:
-    return sc.oos_pairing(mt.all_metrics(values(s, d, "train")), mt.all_metrics(values(s, d, "oos")))
+    return sc.oos_pairing(metrics(s, d, "train"), metrics(s, d, "oos"))
 
 
 OOS_SQL = f"""{metrics_sql(TRAIN, '_tr')}, {metrics_sql(OOS, '_oo')}, o AS (SELECT a_oo.*, coalesce(a_tr.ic_mean, 0) AS train_ic, coalesce(a_oo.ic_mean, 0) AS oos_ic FROM a_oo JOIN a_tr USING (factor_id))"""
@@ -540,7 +559,9 @@ def q_gate(s: SparkSession, d: str) -> DataFrame:
     from barloom.library import Factor
 
     bad = [Factor(n, n, e, description="a factor that must be rejected") for n, e in ql.BAD_FACTORS.items()]
-    out = ql.check_all(seed_factors() + bad, months(s, d).persist())
+    p = months(s, d).persist()
+    out = ql.check_all(seed_factors() + bad, p)
+    p.unpersist()
     return s.createDataFrame([(x.factor_id, x.passed, x.stage, x.complexity) for x in out], "factor_id string, passed boolean, stage string, complexity long")
 
 

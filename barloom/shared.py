@@ -30,3 +30,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the shared folder: its partitions stay what they are, and no lost executor makes Spark deal them anew."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """df as a Parquet table in the shared folder: read several times, computed once, and nothing is left in memory."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

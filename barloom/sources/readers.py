@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import json
 import os
 from dataclasses import dataclass, field
 from typing import Protocol
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -61,19 +61,25 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """Records as JSON Lines, or as files that each hold an array of records or one record over several lines. A file whose first
-    line is a whole record is taken as lines, which Spark splits among tasks; a folder holds one kind."""
-    text = F.trim("value", F.lit(" \t\r\ufeff"))
-    first = spark.read.text(path).select(text.alias("value")).where("value <> ''").limit(1).collect()
-    if not first:  # no line: no record
+    """Records as JSON Lines, or as files that each hold an array of records or one record over several lines; a folder may hold both kinds. A file
+    is taken as lines, which Spark splits among tasks, if its first line that isn't blank opens with { and closes all braces that it opens. Of each file the driver learns
+    its path and kind."""
+    line = F.trim("value", F.lit(" \t\r\ufeff"))
+    count = lambda c: F.char_length("value") - F.char_length(F.translate("value", c, ""))
+    whole = F.col("value").startswith("{") & F.col("value").endswith("}") & (count("{") == count("}"))
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("at"), line.alias("value")).where("value <> ''")
+    kinds = text.select("file", "at", whole.alias("lines")).groupBy("file").agg(F.min_by("lines", "at").alias("lines")).collect()
+    if not kinds:  # no line: no record
         return spark.createDataFrame([], "symbol string, trade_date string")
-    try:
-        lines = isinstance(json.loads(first[0]["value"]), dict)
-    except ValueError:
-        lines = False
-    reader = spark.read.option("primitivesAsString", True)
+    reader = lambda: spark.read.option("primitivesAsString", True)
     # a line that is no record, in a file of lines, is an error rather than a row of nulls
-    return (reader.option("mode", "FAILFAST") if lines else reader.option("multiLine", True)).json(path)
+    parts = [(reader().option("mode", "FAILFAST"), [r["file"] for r in kinds if r["lines"]]), (reader().option("multiLine", True), [r["file"] for r in kinds if not r["lines"]])]
+    parts = [(r, files) for r, files in parts if files]
+    if len(parts) == 1:
+        return parts[0][0].json(path)
+    one, two = (r.json([unquote(f) for f in files]) for r, files in parts)
+    return one.unionByName(two, allowMissingColumns=True)
 
 
 @dataclass

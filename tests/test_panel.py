@@ -128,6 +128,14 @@ def test_json_lines_and_arrays(spark, tmp_path):
         assert sorted((r["symbol"], r["volume"]) for r in got) == [(r["symbol"], float(r["volume"])) for r in rows][: 1 if name == "one.json" else 3], name
     spark.createDataFrame(rows).repartition(2).write.json(str(tmp_path / "folder.json"))
     assert SOURCES["vendor_c"].load(spark, DataRequest(str(tmp_path / "folder.json"))).count() == 3
+    mixed = tmp_path / "both kinds.json"
+    mixed.mkdir()
+    many = [{"symbol": f"{i:03}", "trade_date": "2022-01-03", "volume": i, **({"note": "{"} if i % 2 else {})} for i in range(106)]
+    (mixed / "a b.json").write_text(json.dumps(many[:100]))
+    (mixed / "c%20d.json").write_text("\n".join(map(json.dumps, many[100:])))
+    (mixed / "e.json").write_text(" \n\n")
+    got = SOURCES["vendor_c"].load(spark, DataRequest(str(mixed))).collect()
+    assert sorted((r["symbol"], r["volume"]) for r in got) == [(r["symbol"], float(r["volume"])) for r in many]
     (tmp_path / "none.json").write_text("")
     assert SOURCES["vendor_c"].load(spark, DataRequest(str(tmp_path / "none.json"))).count() == 0
 
