@@ -11,7 +11,7 @@ from functools import reduce
 from typing import Any
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.config import QualityConfig
@@ -66,20 +66,26 @@ def check_text(f: Factor, c: QualityConfig) -> QualityResult:
     return r
 
 
-def sample_stats(panel: DataFrame, expressions: dict[str, str], scope: str, c: QualityConfig) -> dict[str, dict[str, Any]]:
-    """n, valid ratio, infinity and spread of each factor on all rows (or c.sample_rows first ones by symbol and date), in one job."""
+def value_stats(panel: DataFrame, expressions: dict[str, str], scope: str, c: QualityConfig) -> DataFrame:
+    """factor_id, n, valid (share), inf, sd of each factor on all rows (or c.sample_rows first ones by symbol and date), in one aggregation."""
     rows = panel if c.sample_rows is None else panel.orderBy("symbol", "trade_date").limit(c.sample_rows)
     wide = with_expressions(rows, {f"__f{i}": e for i, e in enumerate(expressions.values())}, scope)
-    aggs = []
+    stats = []
     for i in range(len(expressions)):
         v = F.col(f"__f{i}")
-        aggs += [
-            F.avg(v.isNotNull().cast("double")).alias(f"valid{i}"),
-            F.coalesce(F.bool_or(F.abs(v) == float("inf")), F.lit(False)).alias(f"inf{i}"),
-            F.stddev_samp(F.when(F.abs(v) != float("inf"), v)).alias(f"sd{i}"),
-        ]
-    row = wide.agg(F.count(F.lit(1)).alias("n"), *aggs).first()
-    return {name: {"n": row["n"], "valid": row[f"valid{i}"] or 0.0, "inf": row[f"inf{i}"], "sd": row[f"sd{i}"]} for i, name in enumerate(expressions)}
+        stats.append(F.struct(
+            F.coalesce(F.avg(v.isNotNull().cast("double")), F.lit(0.0)).alias("valid"),
+            F.coalesce(F.bool_or(F.abs(v) == float("inf")), F.lit(False)).alias("inf"),
+            F.stddev_samp(F.when(F.abs(v) != float("inf"), v)).alias("sd"),
+        ).alias(f"__s{i}"))
+    row = wide.agg(F.count(F.lit(1)).alias("n"), *stats)
+    named = F.array(*[F.struct(F.lit(f).alias("factor_id"), F.col(f"__s{i}.valid").alias("valid"), F.col(f"__s{i}.inf").alias("inf"), F.col(f"__s{i}.sd").alias("sd")) for i, f in enumerate(expressions)])
+    return row.select("n", F.inline(named)).select("factor_id", "n", "valid", "inf", "sd")
+
+
+def complexity_of(text: Column) -> Column:
+    """Characters ( + - * / in a column of expressions, as complexity() counts them."""
+    return (F.length(text) - F.length(F.translate(text, "(+-*/", ""))).cast("long")
 
 
 def truncation_dates(panel: DataFrame, k: int, seed: int | None = 42) -> list[Any]:
@@ -128,15 +134,15 @@ def truncation_test(panel: DataFrame, expressions: dict[str, str], dates: list[A
     ).where("n >= 2")
 
 
-def check_all(factors: list[Factor], panel: DataFrame, config: QualityConfig | None = None, scope: str = "symbol", seed: int = 42) -> list[QualityResult]:
-    """Results of all factors, in their order."""
+def check_all(factors: list[Factor], panel: DataFrame, config: QualityConfig | None = None, scope: str = "symbol", seed: int | None = 42) -> list[QualityResult]:
+    """Results of all factors, in their order; seed as in truncation_dates."""
     c = config or QualityConfig()
     found = {f.factor_id: check_text(f, c) for f in factors}
     by_id = {f.factor_id: f for f in factors}
     alive = lambda: {i: by_id[i].expression for i, r in found.items() if r.passed}
     if alive():
-        for i, s in sample_stats(panel, alive(), scope, c).items():
-            r = found[i]
+        for s in value_stats(panel, alive(), scope, c).collect():
+            r = found[s["factor_id"]]
             r.valid_ratio = s["valid"]
             r.is_constant = s["sd"] is not None and s["sd"] < c.near_constant_threshold
             if not s["n"]:

@@ -92,31 +92,29 @@ def validate(df: DataFrame) -> list[str]:
     missing = [c for c in REQUIRED if c not in df.columns]
     if missing:
         return [f"missing columns: {', '.join(missing)}"]
-    stats = df.agg(
+    stats = validation_row(df).first()
+    found = [f"{c} has values that are not positive" for c in PRICES if stats[f"low_{c}"]]
+    found += ["volume has negative values"] if stats["low_volume"] else []
+    found += [f"{stats['dups']} rows repeat a key"] if stats["dups"] else []
+    found += [f"prices contradict high or low at {stats['bar']['symbol']} {stats['bar']['trade_date']}"] if stats["bars"] else []
+    return found
+
+
+def validation_row(df: DataFrame) -> DataFrame:
+    """One row: counts of what validate() objects to, and the first bad bar."""
+    return df.agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.count_if(F.col(c) <= 0).alias(f"low_{c}") for c in PRICES],
         F.count_if(F.col("volume") < 0).alias("low_volume"),
         duplicate_keys(df).alias("dups"),
         F.min_by(F.struct("symbol", "trade_date"), F.when(bad_bar(), F.struct("symbol", "trade_date"))).alias("bar"),
         F.count_if(bad_bar()).alias("bars"),
-    ).first()
-    found = [f"{c} has values that are not positive" for c in PRICES if stats[f"low_{c}"]]
-    found += ["volume has negative values"] if stats["low_volume"] else []
-    found += [f"{stats['dups']} rows repeat a key"] if stats["dups"] else []
-    found += [f"prices contradict high or low at {stats['bar']['symbol']} {stats['bar']['trade_date']}"] if stats["bars"] else []
-    return found
+    )
 
 
 def profile(df: DataFrame) -> dict[str, Any]:
     """Row and symbol counts, date range, missing rates and repeated keys, in one aggregation."""
-    r = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_distinct("symbol").alias("n_symbols"),
-        F.min("trade_date").alias("start_date"),
-        F.max("trade_date").alias("end_date"),
-        duplicate_keys(df).alias("duplicate_keys"),
-        *[F.avg(F.col(c).isNull().cast("double")).alias(f"missing_{c}") for c in df.columns],
-    ).first()
+    r = profile_row(df).first()
     rates = {c: r[f"missing_{c}"] for c in df.columns if r[f"missing_{c}"]}
     return {
         "rows": r["rows"], "n_symbols": r["n_symbols"], "start_date": str(r["start_date"]) if r["start_date"] else None,
@@ -125,6 +123,18 @@ def profile(df: DataFrame) -> dict[str, Any]:
     }
 
 
+def profile_row(df: DataFrame) -> DataFrame:
+    """One row: what profile() tells."""
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_distinct("symbol").alias("n_symbols"),
+        F.min("trade_date").alias("start_date"),
+        F.max("trade_date").alias("end_date"),
+        duplicate_keys(df).alias("duplicate_keys"),
+        *[F.avg(F.col(c).isNull().cast("double")).alias(f"missing_{c}") for c in df.columns],
+    )
+
+
 def fingerprint(df: DataFrame, content: bool = False) -> str:
     """SHA-256 of the panel's profile; with content, also of an order-free hash of all its rows."""
     p = profile(df)

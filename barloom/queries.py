@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom import panel as pn
 from barloom.config import FactorConfig, PortfolioConfig, QualityConfig
-from barloom.library import SEEDS, seed_factors
+from barloom.library import SEEDS, Factor, seed_factors
 from barloom.operators import backtest as bt
 from barloom.operators import metrics as mt
 from barloom.operators import quality as ql
@@ -20,6 +20,7 @@ from barloom.plans.expressions import FIELDS, complexity, parse
 from barloom.plans.slices import with_slices
 from barloom.plans.sql import BARS, EVENTS, USER_DAYS, WEEKS, corr_sql, expression_sql
 from barloom.shared import new_path, written
+from barloom.sources import datasets as ds
 from barloom.sources.panels import bars_events, bars_lineitem, bars_user_day
 from barloom.sources.readers import DataRequest, FileSource, SyntheticSource, apply_request, preview
 
@@ -123,8 +124,8 @@ add("src_synthetic", src_synthetic)
 # --- validation
 
 add(
-    "val_profile", lambda s, d: months(s, d).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("symbol").alias("n_symbols"), F.min("trade_date").alias("start_date"), F.max("trade_date").alias("end_date")),
-    f"WITH p AS ({BARS}) SELECT count(*) AS n_rows, count(DISTINCT symbol) AS n_symbols, min(trade_date) AS start_date, max(trade_date) AS end_date FROM p",
+    "val_profile", lambda s, d: pn.profile_row(months(s, d)).select(F.col("rows").alias("n_rows"), "n_symbols", "start_date", "end_date", "duplicate_keys"),
+    f"WITH p AS ({BARS}) SELECT count(*) AS n_rows, count(DISTINCT symbol) AS n_symbols, min(trade_date) AS start_date, max(trade_date) AS end_date, count(*) - count(DISTINCT (symbol, trade_date)) AS duplicate_keys FROM p",
 )
 GAPPY = "with_gaps"
 
@@ -137,7 +138,7 @@ def with_gaps(s: SparkSession, d: str) -> DataFrame:
 
 GAPS = f"SELECT symbol, trade_date, open, CASE WHEN open > 1200 THEN low - 1 ELSE high END AS high, low, CASE WHEN close < 1500 THEN close END AS close, volume - 50 AS volume, amount FROM ({BARS})"
 add(
-    "val_missing_rates", lambda s, d: rounded(with_gaps(s, d).agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in BAR_COLUMNS])),
+    "val_missing_rates", lambda s, d: rounded(pn.profile_row(with_gaps(s, d)).select(*[F.col(f"missing_{c}").alias(c) for c in BAR_COLUMNS])),
     f"SELECT {', '.join(f'round(avg(CASE WHEN {c} IS NULL THEN 1.0::DOUBLE ELSE 0 END), 8) AS {c}' for c in BAR_COLUMNS)} FROM ({GAPS})",
 )
 add(
@@ -145,18 +146,18 @@ add(
     "SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) AS duplicate_rows FROM lineitem",
 )
 add(
-    "val_nonpositive", lambda s, d: with_gaps(s, d).agg(*[F.count_if(F.col(c) <= 0).alias(c) for c in pn.PRICES], F.count_if(F.col("volume") < 0).alias("volume")),
+    "val_nonpositive", lambda s, d: pn.validation_row(with_gaps(s, d)).select(*[F.col(f"low_{c}").alias(c) for c in (*pn.PRICES, "volume")]),
     f"SELECT {', '.join(f'count(*) FILTER ({c} <= 0) AS {c}' for c in pn.PRICES)}, count(*) FILTER (volume < 0) AS volume FROM ({GAPS})",
 )
 _BAD = "open IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL AND close IS NOT NULL AND (high < greatest(open, low, close) OR low > least(open, high, close))"
 add("val_ohlc_logic", lambda s, d: with_gaps(s, d).where(pn.bad_bar()).select("symbol", "trade_date"), f"SELECT symbol, trade_date FROM ({GAPS}) WHERE {_BAD}")
 add(
-    "val_ohlc_anomaly", lambda s, d: with_gaps(s, d).agg(F.count_if((F.col("high") < F.col("low")) | (F.col("high") < F.col("open"))).alias("anomalies")),
-    f"SELECT count(*) FILTER (high < low OR high < open) AS anomalies FROM ({GAPS})",
+    "val_ohlc_anomaly", lambda s, d: ds.check_row(with_gaps(s, d)).select(F.col("d").alias("duplicate_keys"), F.col("a").alias("anomalies"), F.col("b").alias("bad_bars")),
+    f"SELECT count(*) - count(DISTINCT (symbol, trade_date)) AS duplicate_keys, count(*) FILTER (high < low OR high < open) AS anomalies, count(*) FILTER ({_BAD}) AS bad_bars FROM ({GAPS})",
 )
 add(
     "val_dataset_meta",
-    lambda s, d: bars_user_day(s, d).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("symbol").alias("n_symbols"), F.date_format(F.min("trade_date"), "yyyy-MM-dd").alias("start_date"), F.date_format(F.max("trade_date"), "yyyy-MM-dd").alias("end_date")),
+    lambda s, d: s.createDataFrame([ds.metadata(bars_user_day(s, d))], "rows long, n_symbols long, start_date string, end_date string").withColumnRenamed("rows", "n_rows"),
     f"SELECT count(*) AS n_rows, count(DISTINCT symbol) AS n_symbols, strftime(min(trade_date), '%Y-%m-%d') AS start_date, strftime(max(trade_date), '%Y-%m-%d') AS end_date FROM ({USER_DAYS})",
 )
 
@@ -500,22 +501,20 @@ for _st in bt.STRATEGIES:
 
 
 def q_stats(s: SparkSession, d: str) -> DataFrame:
-    v = values(s, d)
-    return v.groupBy("factor_id").agg(
-        F.avg(F.col("factor_value").isNotNull().cast("double")).alias("valid_ratio"), F.coalesce(F.bool_or(F.abs("factor_value") == float("inf")), F.lit(False)).alias("has_inf"),
-        F.coalesce(F.stddev_samp("factor_value") < 1e-8, F.lit(False)).alias("near_constant"),
-    )
+    """What the gate learns of the values of all built-in factors."""
+    c = QualityConfig()
+    near = F.coalesce(F.col("sd") < c.near_constant_threshold, F.lit(False))
+    return ql.value_stats(months(s, d), SEED_EXPRESSIONS, "symbol", c).select("factor_id", F.col("valid").alias("valid_ratio"), F.col("inf").alias("has_inf"), near.alias("near_constant"))
 
 
 _Q = f"WITH {long_sql()} SELECT factor_id, "
 add("q_valid_ratio", lambda s, d: rounded(q_stats(s, d).select("factor_id", "valid_ratio")), _Q + r("avg(CASE WHEN factor_value IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END)", "valid_ratio") + " FROM v GROUP BY 1")
 add("q_inf", lambda s, d: q_stats(s, d).select("factor_id", "has_inf"), _Q + "coalesce(bool_or(isinf(factor_value)), false) AS has_inf FROM v GROUP BY 1")
-add("q_near_constant", lambda s, d: q_stats(s, d).select("factor_id", "near_constant"), _Q + "coalesce(stddev_samp(factor_value) < 1e-8, false) AS near_constant FROM v GROUP BY 1")
+add("q_near_constant", lambda s, d: q_stats(s, d).select("factor_id", "near_constant"), _Q + f"coalesce(stddev_samp(factor_value) FILTER (NOT isinf(factor_value)) < {QualityConfig().near_constant_threshold}, false) AS near_constant FROM v GROUP BY 1")
 
 
 def q_complexity(s: SparkSession, d: str) -> DataFrame:
-    e = F.col("expression")
-    return _candidates(s, d).select("factor_id", (F.length(e) - F.length(F.translate(e, "(+-*/", ""))).cast("long").alias("complexity"))
+    return _candidates(s, d).select("factor_id", ql.complexity_of(F.col("expression")).alias("complexity"))
 
 
 add("q_complexity", q_complexity, f"{_candidates_sql()} SELECT factor_id, length(expression) - length(translate(expression, '(+-*/', '')) AS complexity FROM h")
@@ -554,18 +553,36 @@ add("q_truncation_ts", truncation(TS_SEEDS), truncation_sql(TS_SEEDS))
 add("q_truncation_rank", truncation(RANK_SEED), truncation_sql(RANK_SEED))
 
 
-def q_gate(s: SparkSession, d: str) -> DataFrame:
-    """The whole gate over all built-in and all bad factors."""
-    from barloom.library import Factor
+def gated() -> list[Factor]:
+    """All built-in factors and all that must be rejected."""
+    return seed_factors() + [Factor(n, n, e, description="a factor that must be rejected") for n, e in ql.BAD_FACTORS.items()]
+
 
-    bad = [Factor(n, n, e, description="a factor that must be rejected") for n, e in ql.BAD_FACTORS.items()]
+def q_gate(s: SparkSession, d: str) -> DataFrame:
+    """The whole gate over all built-in and all bad factors, with test dates at even steps."""
     p = months(s, d).persist()
-    out = ql.check_all(seed_factors() + bad, p)
+    out = ql.check_all(gated(), p, seed=None)
     p.unpersist()
     return s.createDataFrame([(x.factor_id, x.passed, x.stage, x.complexity) for x in out], "factor_id string, passed boolean, stage string, complexity long")
 
 
-add("q_gate", q_gate)
+def gate_sql() -> str:
+    """Texts judged by patterns, values by aggregates, look-ahead by the truncation rows; the first check that fails names the stage."""
+    c = QualityConfig()
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    listed = ", ".join(f"({quoted(f.factor_id)}, {quoted(f.expression)}, {len(f.description.strip())})" for f in gated())
+    text = f"expression LIKE '%shift(%' OR regexp_matches(expression, '(delay|delta|ret)\\([a-z]+, -[0-9]') OR list_max([x::BIGINT for x in regexp_extract_all(expression, '[0-9]+')]) > {c.max_window_size}"
+    odd = f"valid < {c.min_valid_ratio} OR 1 - valid > {c.max_nan_ratio} OR valid = 0 OR inf OR coalesce(sd < {c.near_constant_threshold}, false)"
+    stats = f"WITH {long_sql()} SELECT factor_id, avg(CASE WHEN factor_value IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END) AS valid, coalesce(bool_or(isinf(factor_value)), false) AS inf, stddev_samp(factor_value) FILTER (NOT isinf(factor_value)) AS sd FROM v GROUP BY 1"
+    return f"""WITH f(factor_id, expression, told) AS (VALUES {listed}),
+st AS (SELECT * FROM ({stats})), tr AS (SELECT factor_id, max(max_diff) AS most, min(correlation) AS least, bool_or(leaks) AS leaks FROM ({truncation_sql(SEED_EXPRESSIONS)}) GROUP BY 1),
+j AS (SELECT f.*, length(expression) - length(translate(expression, '(+-*/', '')) AS complexity, valid, inf, sd, leaks, least FROM f LEFT JOIN st USING (factor_id) LEFT JOIN tr USING (factor_id)),
+g AS (SELECT factor_id, complexity, CASE WHEN {text} THEN 'dsl_whitelist' WHEN {odd} THEN 'nan_constant' WHEN told < 10 THEN 'economic_logic'
+WHEN leaks OR least < {c.truncation_min_corr} THEN 'truncation' WHEN complexity > {c.max_complexity} THEN 'complexity' ELSE '' END AS stage FROM j)
+SELECT factor_id, stage = '' AS passed, stage, complexity FROM g"""
+
+
+add("q_gate", q_gate, gate_sql())
 assert all(complexity(e) and parse(e) for e in SEED_EXPRESSIONS.values())
 
 

@@ -66,11 +66,16 @@ def check(df: DataFrame) -> dict[str, Any]:
     missing = [c for c in REQUIRED if c not in df.columns]
     if missing:
         return {"valid": False, "missing_fields": missing}
-    row = df.agg(
+    row = check_row(df).first()
+    return {"valid": not (row["d"] or row["a"]), "missing_fields": [], "duplicate_keys": row["d"], "anomalies": row["a"], "bad_bars": row["b"]}
+
+
+def check_row(df: DataFrame) -> DataFrame:
+    """One row: repeated keys (d), odd bars by the short rule (a) and by the full one (b)."""
+    return df.agg(
         (F.count(F.lit(1)) - F.count_distinct(F.struct("symbol", "trade_date"))).alias("d"),
         F.count_if((F.col("high") < F.col("low")) | (F.col("high") < F.col("open"))).alias("a"), F.count_if(bad_bar()).alias("b"),
-    ).first()
-    return {"valid": not (row["d"] or row["a"]), "missing_fields": [], "duplicate_keys": row["d"], "anomalies": row["a"], "bad_bars": row["b"]}
+    )
 
 
 def first_rows(spark: SparkSession, path: str, n_rows: int = 50) -> DataFrame:
