@@ -12,10 +12,11 @@ from typing import Any
 
 import pyspark
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barloom.config import Config
 from barloom.library import Registry, seed_factors
-from barloom.operators import backtest, metrics, quality, scoring
+from barloom.operators import backtest, metrics, neighbours, quality, scoring
 from barloom.operators.boundary import LeakageGuard, SampleBoundary
 from barloom.panel import fingerprint, manifest, profile, validate
 from barloom.sources.readers import SOURCES, DataRequest
@@ -82,10 +83,14 @@ class PipelineRunner:
         by_id = {r["factor_id"]: r for r in result["scores"]}
         for f in passed:
             f.train_metrics = {k: v for k, v in by_id.get(f.factor_id, {}).items() if isinstance(v, float)}
-        info = {f.factor_id: {"score": by_id[f.factor_id]["composite_score"], "coverage": by_id[f.factor_id]["coverage"], "turnover": by_id[f.factor_id]["turnover"], "length": len(f.expression)} for f in passed}
-        kept, removed = order, []
+        kept = order
         if c.dedup.numerical_dedup:
-            kept, removed = scoring.numerical_dedup(order, scoring.correlation_pairs(scoring.daily_means(train_values)), info, c.dedup.absolute_correlation_threshold)
+            listed = self.spark.createDataFrame([(f.factor_id, i, len(f.expression)) for i, f in enumerate(passed)], "factor_id string, pos int, length int")
+            merits = scored.select("factor_id", F.col("composite_score").alias("score"), "coverage", "turnover")
+            close = neighbours.close_pairs(scoring.daily_means(train_values), c.dedup.absolute_correlation_threshold)
+            flags = {r["factor_id"] for r in neighbours.keep_best(listed.join(merits, "factor_id", "left"), close).where("kept").collect()}
+            kept = [f for f in order if f in flags]
+        removed = [f for f in order if f not in kept]
         result["dedup"] = {"before": len(order), "after": len(kept), "removed": removed}
         write_records([{"factor_id": f, "kept": f in kept} for f in order], f"{out}/dedup/dedup_results.csv")
         write_records([{"factor_id": f.factor_id, "expression": f.expression} for f in passed if by_id[f.factor_id]["status"] == "elite"], f"{out}/elite_factors/elite_factors.csv")

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom import panel as pn
-from barloom.config import FactorConfig, PortfolioConfig, QualityConfig
+from barloom.config import DedupConfig, FactorConfig, PortfolioConfig, QualityConfig
 from barloom.library import SEEDS, Factor, seed_factors
 from barloom.operators import backtest as bt
 from barloom.operators import metrics as mt
+from barloom.operators import neighbours as nb
 from barloom.operators import quality as ql
 from barloom.operators import ranks as rk
 from barloom.operators import scoring as sc
@@ -23,7 +24,7 @@ from barloom.plans.sql import BARS, EVENTS, USER_DAYS, WEEKS, corr_sql, expressi
 from barloom.shared import new_path, written
 from barloom.sources import datasets as ds
 from barloom.sources.panels import bars_events, bars_lineitem, bars_user_day
-from barloom.sources.readers import DataRequest, FileSource, SyntheticSource, apply_request, preview
+from barloom.sources.readers import DataRequest, FileSource, apply_request, preview
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -114,14 +115,6 @@ add("src_csv_roundtrip", src_roundtrip("csv"), bars_sql())
 add("src_json_roundtrip", src_roundtrip("json"), bars_sql())
 
 
-def src_synthetic(s: SparkSession, d: str) -> DataFrame:
-    """Synthetic bars over the date range of the given lines, for as many symbols as there are suppliers."""
-    row = s.read.parquet(f"{d}/lineitem.parquet").agg(F.min("l_shipdate").cast("date").alias("a"), F.max("l_shipdate").cast("date").alias("b"), F.max("l_suppkey").alias("n")).first()
-    return SyntheticSource(int(row["n"])).load(s, DataRequest(start_date=str(row["a"]), end_date=str(row["b"]))).drop("fetched_at", "source", "data_version")
-
-
-add("src_synthetic", src_synthetic)
-
 # --- validation
 
 add(
@@ -385,6 +378,18 @@ SELECT factor_id, NOT list_contains(removed, f.pos) AS kept FROM f, walk w WHERE
 add("dedup_numerical", dedup_numerical, dedup_sql())
 
 
+def dedup_rounds(s: SparkSession, d: str) -> DataFrame:
+    """The same walk in rounds, over pairs that come from blocks."""
+    v = written(values(s, d, "train"), "values")
+    scored = sc.composite_score(mt.all_metrics(v, digits=TIES)).select("factor_id", F.col("composite_score").alias("score"), "coverage", "turnover")
+    listed = s.createDataFrame([(f, i, len(e)) for i, (f, e) in enumerate(SEED_EXPRESSIONS.items())], "factor_id string, pos int, length int")
+    return nb.keep_best(listed.join(scored, "factor_id"), nb.close_pairs(sc.daily_means(v), DedupConfig().absolute_correlation_threshold))
+
+
+add("factor_corr_blocks", lambda s, d: rounded(nb.close_pairs(sc.daily_means(values(s, d, "train"))), 6), f"WITH {long_sql(TRAIN)}, {PAIRS} SELECT a, b, {r('correlation', 'correlation', 6)}, n_dates FROM pairs")
+add("dedup_numerical_rounds", dedup_rounds, dedup_sql())
+
+
 def oos(s: SparkSession, d: str) -> DataFrame:
     return sc.oos_pairing(metrics(s, d, "train"), metrics(s, d, "oos"))
 
