@@ -38,9 +38,10 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
         # the constant comes first: a column's hash is the seed of the next, so after the key it would tell nothing new
         return F.when(F.char_length(key) >= min_chars, F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b")))
 
-    at = docs.where(F.col(doc_id).isNotNull()).select(
-        F.col(doc_id).alias("__id"), F.xxhash64(body).alias("__body"), F.posexplode(F.transform(lines, hashed)).alias("__pos", "__h")
-    ).where("__h is not null").select("__id", "__body", "__pos", F.col("__h.a").alias("__a"), F.col("__h.b").alias("__b"))
+    # keys are hashed before they are exploded: what is selected beside a generator would be copied for every line, the text itself among it
+    keyed = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id"), F.xxhash64(body).alias("__body"), F.transform(lines, hashed).alias("__keys"))
+    at = keyed.select("__id", "__body", F.posexplode("__keys").alias("__pos", "__h"))
+    at = at.where("__h is not null").select("__id", "__body", "__pos", F.col("__h.a").alias("__a"), F.col("__h.b").alias("__b"))
     at = stage(at, "lines")
     if min_docs == 2:
         held = at.groupBy("__a", "__b").agg(F.min("__id").alias("__first"), F.max("__id").alias("__last")).where("__first < __last")
