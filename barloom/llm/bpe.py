@@ -294,6 +294,7 @@ def frequent_words(docs: DataFrame, text: str = "text", most: int = LEXICON_WORD
     the driver, however many tasks there are.
     """
     words = docs.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))).alias("word"))
+    words = words.where(F.octet_length("word") <= LONGEST)  # the lexicon takes no longer ones, so they are neither counted nor collected
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     counts = stage(counts.withColumn("bin", F.floor(8 * F.log2("n")).cast("int")), "words")
     left, least = most, None
@@ -320,7 +321,8 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str] | None = None, text:
 
     tokenizer: path of a byte-level BPE file, there on all machines. lexicon: the name that ship_lexicon gave;
     None: one is made from the frequent words of docs. Null and empty texts have no ids. Rows keep
-    their number: ties and repeats are encoded each. Columns of other names don't matter.
+    their number: ties and repeats are encoded each. Long texts and long words are encoded whole, whatever the lexicon holds. Columns of other names don't
+    matter; an empty table gives no rows.
     """
     lexicon = lexicon or ship_lexicon(docs.sparkSession, frequent_words(docs, text), tokenizer)
 
@@ -333,7 +335,8 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str] | None = None, text:
 
 def decode(encoded: DataFrame, tokenizer: str, keep: list[str], ids: str = "ids") -> DataFrame:
     """The columns keep and decoded (string): the bytes of all tokens, special ones too, read as UTF-8 with
-    malformed parts replaced. Null ids decode to the empty text."""
+    malformed parts replaced. Null and empty ids decode to the empty text. Rows keep their number, long ones are decoded whole; other columns are not
+    read, and an empty table gives no rows."""
 
     def run(rows: list[bytes | None]) -> dict[str, pa.Array]:
         of = vocabulary(tokenizer).bytes

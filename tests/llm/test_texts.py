@@ -140,6 +140,105 @@ def test_densities_against_the_definition():
         assert page.sums == pytest.approx([sum(density(x, whole, i or t[0] == "a") for x in t[1] if not isinstance(x, str)) for t, i in nodes])
 
 
+def slow_choice(root, marks):
+    """The text of a tree (tag, parts) by the definition of core, threshold, scope and pruning; marks: numbers of nodes in document order."""
+    nodes, parents = [], []
+
+    def number(t, parent):
+        i = len(nodes)
+        nodes.append(t)
+        parents.append(parent)
+        for x in t[1]:
+            if not isinstance(x, str):
+                number(x, i)
+
+    number(root, -1)
+    page = html_text.Page("".join(map(shown, root[1])))  # densities and sums have a test of their own
+    assert page.tag == [t[0] for t in nodes]
+    up = lambda i: [i, *(up(parents[i]) if i else [])]
+    cut = {i for i in range(len(nodes)) if set(up(i)) & marks}
+    core = min((i for i in range(len(nodes)) if i not in cut), key=lambda i: (-page.sums[i], i))
+    path = up(core)
+    scope = next((i for i in path if nodes[i][0] in ("article", "main")), 0)
+    threshold = min(page.densities[i] for i in path)
+    block = lambda i: nodes[i][0] != "a"
+
+    def own_reason(i):
+        dense = page.densities[i] >= threshold or (nodes[i][0] in html_text.HEADINGS and not page.link_chars[i])
+        return i == core or (block(i) and i != scope and i not in path and dense)
+
+    taken = {i for i in range(len(nodes)) if scope in up(i) and any(own_reason(j) for j in up(i)[: up(i).index(scope)]) or i == core}
+    if core == scope:
+        taken |= {i for i in range(len(nodes)) if scope in up(i)}
+    out, count = [], iter(range(len(nodes)))
+
+    def collect(t, owner):
+        i = next(count)
+        mine = i if block(i) else owner
+        if block(i):
+            out.append([])
+        for x in t[1]:
+            if isinstance(x, str):
+                out[-1].append((mine, x))
+            else:
+                collect(x, mine)
+        if block(i):
+            out.append([])
+
+    collect(root, 0)
+    texts = []
+    for parts in out:
+        parts = [(o, x) for o, x in parts if x]
+        text = " ".join("".join(x for _, x in parts).split())
+        if text and parts[0][0] not in cut and (parts[0][0] in taken or parts[0][0] == scope):
+            texts.append(text)
+    return "\n\n".join(texts)
+
+
+def shown(t):
+    return t if isinstance(t, str) else f"<{t[0]}>{''.join(map(shown, t[1]))}</{t[0]}>"
+
+
+def test_choice_and_pruning_against_the_definition():
+    rnd = random.Random(9)
+
+    def grow(depth, inside_link=False):
+        parts = [rnd.choice(["", "x" * rnd.randint(1, 90), " some words here "]) if rnd.random() < 0.4 or depth > 4 else grow(depth + 1, inside_link) for _ in range(rnd.randint(0, 5))]
+        return (rnd.choice(["div", "div", "section", "blockquote", "article", "h3"]) if rnd.random() < 0.8 or depth < 1 else "a", parts)
+
+    def links_alone(t, inside=False):
+        return isinstance(t, str) or (not (inside and t[0] in ("a", "h3")) and all(links_alone(x, inside or t[0] in ("a", "h3")) for x in t[1]))
+
+    done = chosen = 0
+    while done < 300:
+        body = ("body", [grow(0) for _ in range(4)])
+        if not links_alone(body):
+            continue
+        done += 1
+        page = html_text.Page("".join(map(shown, body[1])))
+        blocks = [i for i in range(1, len(page.tag)) if page.tag[i] != "a"]
+        for marks in (set(), set(rnd.sample(blocks, min(2, len(blocks))))):
+            got = page.text(marks)
+            chosen += bool(got)
+            assert got == slow_choice(body, marks)
+    assert chosen > 300
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><form action='/go' method=post><div>{ARTICLE}</div></form></body>", f'<body><div class="lg:flex hidden md:block">{ARTICLE}</div></body>',
+    f'<body><article title="The hidden truth">{ARTICLE}</article></body>', f'<body><article data-x="a aria-hidden=true display: none">{ARTICLE}</article></body>',
+    f"<body><header>{ARTICLE}</header></body>", f"<body><div hidden>{ARTICLE}</div></body>", f"<body><aside>{ARTICLE}</aside></body>",
+])
+def test_articles_inside_hard_parts_stay(page):
+    assert html_text.main_text(page) == KEPT
+
+
+@pytest.mark.parametrize("hide", ["hidden", "hidden=''", "HIDDEN=until-found", "aria-hidden=true", 'aria-hidden="TRUE"', "style='color: red; display : none'", "class=x hidden id=y"])
+def test_hidden_parts_go_by_the_name_of_the_attribute(hide):
+    assert html_text.main_text(f"<body><article>{ARTICLE}</article><div {hide}>Not to be seen at all.</div></body>") == KEPT
+    assert html_text.main_text(f"<body><article>{ARTICLE}<p {hide}>Not to be seen.</p></article></body>") == KEPT
+
+
 def test_density_chooses_without_names_and_articles(spark):
     pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
     want = [html_text.main_text(p) for p in pages]
@@ -296,6 +395,17 @@ def test_bpe_equals_the_library(spark):
         assert got[d]["decoded_sha256"] == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_long_words_are_encoded_but_not_counted(spark):
+    from tokenizers import Tokenizer
+
+    texts = [(i, f"short word {'ab' * 5000} {'é' * 40} word{'=' * 3000}") for i in range(4)]
+    words = bpe.frequent_words(table(spark, texts))
+    assert " word" in words and max(len(w.encode()) for w in words) <= bpe.LONGEST
+    library = Tokenizer.from_file(TOKENIZER)
+    want = np.array(library.encode(texts[0][1], add_special_tokens=False).ids, "<u4").tobytes()
+    assert {bytes(r["ids"]) for r in bpe.encode(table(spark, texts), TOKENIZER).collect()} == {want}
+
+
 def test_lexicon_never_changes_results(tmp_path):
     vocab, lib = bpe.vocabulary(TOKENIZER), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     words = sorted({w for t in STRANGE for w in bpe._splitter(bpe.PATTERN).findall(t)} | {" the", " then", "hen", "then", " th"})
