@@ -9,6 +9,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.sources.digests import file_digests, folder_digest
+
 # Required columns, optional ones with their types, and header aliases.
 REQUIRED = ["symbol", "trade_date", "open", "high", "low", "close", "volume"]
 EXTENSIONS = {
@@ -144,17 +146,9 @@ def fingerprint(df: DataFrame, content: bool = False) -> str:
     return hashlib.sha256(json.dumps(told, sort_keys=True, default=str).encode()).hexdigest()
 
 
-def manifest(df: DataFrame, source: str, path: str = "") -> dict[str, Any]:
-    """A snapshot's description: where it came from, the file's SHA-256 (read by Spark; of a folder, that of
-    all its files' SHA-256 by path), and its profile."""
-    digest = ""
-    if path:
-        files = df.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        rows = files.select("path", F.sha2("content", 256).alias("sha")).persist()
-        total, n, first = hashlib.sha256(), 0, ""
-        for r in rows.orderBy("path").toLocalIterator():  # any number of files: the driver holds a partition of them at a time
-            first, n = first or r["sha"], n + 1
-            total.update(r["sha"].encode())
-        rows.unpersist()
-        digest = first if n == 1 else total.hexdigest()
-    return {"source": source, "file_path": path, "file_sha256": digest, **profile(df), "data_fingerprint": fingerprint(df)}
+def manifest(df: DataFrame, source: str, path: str = "", rejected: dict[str, int] | None = None) -> dict[str, Any]:
+    """A snapshot's description: where it came from, the file's SHA-256 (computed in tasks; of a folder, that of
+    all its files' SHA-256 by path), its profile, and counts of rejected records by reason if there are any to tell."""
+    digest = folder_digest(file_digests(df.sparkSession, path)) if path else ""
+    told = {"source": source, "file_path": path, "file_sha256": digest, **profile(df), "data_fingerprint": fingerprint(df)}
+    return told if rejected is None else {**told, "rejected_records": rejected}

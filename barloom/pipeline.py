@@ -5,6 +5,8 @@ Each step is one Spark job over all factors. What reaches the driver is a row fo
 
 from __future__ import annotations
 
+import functools
+import json
 import logging
 import os
 import platform
@@ -15,10 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.config import Config
-from barloom.library import Registry, seed_factors
+from barloom.library import Factor, Registry, seed_factors
 from barloom.operators import backtest, metrics, neighbours, quality, scoring
 from barloom.operators.boundary import LeakageGuard, SampleBoundary
 from barloom.panel import fingerprint, manifest, profile, validate
+from barloom.plans.expressions import parse
+from barloom.plans.increment import with_warm_up
+from barloom.plans.slices import look_back
+from barloom.sources.committed import ResultSet
 from barloom.sources.readers import SOURCES, DataRequest
 from barloom.sources.sinks import write_checksums, write_json, write_records, write_report
 
@@ -32,8 +38,12 @@ def _rows(df: DataFrame) -> list[dict[str, Any]]:
 
 
 class PipelineRunner:
-    def __init__(self, spark: SparkSession, config: Config | None = None, registry: Registry | None = None):
-        self.spark, self.config = spark, config or Config()
+    """warm_up: out-of-sample factors that look back a bounded number of rows see the train period's last rows (else they start cold).
+    results: a folder of any Hadoop file system where the run's tables and report are committed as one version."""
+
+    def __init__(self, spark: SparkSession, config: Config | None = None, registry: Registry | None = None, warm_up: bool = False, results: str = ""):
+        self.spark, self.config, self.warm_up = spark, config or Config(), warm_up
+        self.results = ResultSet(spark, results) if results else None
         self.registry = registry or Registry(seed_factors())
 
     def load(self, source: str, path: str) -> DataFrame:
@@ -96,16 +106,38 @@ class PipelineRunner:
         write_records([{"factor_id": f.factor_id, "expression": f.expression} for f in passed if by_id[f.factor_id]["status"] == "elite"], f"{out}/elite_factors/elite_factors.csv")
 
         guard.mark_oos_loaded()
-        paired = scoring.oos_pairing(scored, metrics.all_metrics(values(oos), c.factors.annualization))
+        oos_values = self._warm_values(train, oos, passed) if self.warm_up else values(oos)
+        paired = scoring.oos_pairing(scored, metrics.all_metrics(oos_values, c.factors.annualization))
         result["oos"] = _rows(paired)
         write_records(result["oos"], f"{out}/oos/oos_metrics.csv")
 
         first = self.registry.evaluate_factor(order[0], train, c.scope).persist()
         result["portfolio"] = [{"strategy": s, **backtest.run(first, train, s, c.portfolio).first().asDict()} for s in RUN_STRATEGIES]
         write_records(result["portfolio"], f"{out}/portfolio/portfolio_results.csv")
+        done = self._finish(result)
+        if self.results:
+            strategies = self.spark.createDataFrame([{k: float(v) if isinstance(v, int) else v for k, v in p.items()} for p in result["portfolio"]])
+            gates = self.spark.createDataFrame([(q["factor_id"], q["passed"], json.dumps(q, default=str)) for q in result["quality"]], "factor_id string, passed boolean, told string")
+            with open(done["report"], encoding="utf-8") as f:
+                texts = {"report.html": f.read()}
+            tables = {"scores": scored, "oos": paired, "train_values": train_values, "portfolio": strategies, "quality": gates}
+            done["version"] = self.results.commit(tables, {**marks, "config": c.to_dict(), "data": result["data"], "dedup": result["dedup"]}, texts)
         for df in (first, scored, train_values, oos, train, panel):
             df.unpersist()
-        return self._finish(result)
+        return done
+
+    def _warm_values(self, train: DataFrame, oos: DataFrame, factors: list[Factor]) -> DataFrame:
+        """Long values of the out-of-sample rows. Forward returns are those of the period itself; factors of whole histories start cold."""
+        rows = metrics.with_forward_return(oos.where("symbol is not null"), self.config.factors.forward_period)
+        warm = {f.factor_id: f for f in factors if look_back(parse(f.expression)) is not None}
+        cold = [f for f in factors if f.factor_id not in warm]
+        wide = with_warm_up(train.where("symbol is not null"), rows, {f"__f{i}": f.expression for i, f in enumerate(warm.values())})
+        each = [F.struct(F.lit(n).alias("factor_id"), (F.col(f"__f{i}") * float(f.direction)).alias("factor_value")) for i, (n, f) in enumerate(warm.items())]
+        names = ["factor_id", "symbol", "trade_date", "forward_return", "factor_value"]
+        parts = [wide.select("symbol", "trade_date", "forward_return", F.inline(F.array(*each))).select(*names)] if warm else []
+        if cold:
+            parts.append(self.registry.evaluate_all(rows, self.config.scope, ("forward_return",), cold).select(*names))
+        return functools.reduce(DataFrame.unionByName, parts)
 
     def _finish(self, result: dict[str, Any]) -> dict[str, Any]:
         out = self.config.output_dir

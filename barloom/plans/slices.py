@@ -73,21 +73,22 @@ def with_slices(panel: DataFrame, expressions: dict[str, str | Node], slices: in
     (default: spark.sql.shuffle.partitions).
     """
     trees = {k: parse(e) if isinstance(e, str) else e for k, e in expressions.items()}
-    return _per_part(sliced(panel, _reach(trees), slices or int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))), trees)
+    return _per_part(sliced(panel, reach(trees), slices or int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))), trees)
 
 
-def _reach(trees: dict[str, Node]) -> int:
-    reach = [look_back(t) for t in trees.values()]
-    if None in reach:
+def reach(trees: dict[str, Node]) -> int:
+    """The furthest look-back of the expressions."""
+    backs = [look_back(t) for t in trees.values()]
+    if None in backs:
         raise ValueError("functions of a symbol's whole history have no bounded look-back")
-    return max(reach, default=0)
+    return max(backs, default=0)
 
 
 def up_to_dates(panel: DataFrame, expressions: dict[str, str | Node], dates: list) -> DataFrame:
     """Values at each of dates (a short list) computed from rows up to that date alone, for expressions of a bounded look-back: symbol, trade_date,
     expressions. Every date's rows within reach are copied once, all in one exchange."""
     trees = {k: parse(e) if isinstance(e, str) else e for k, e in expressions.items()}
-    back = _reach(trees)
+    back = reach(trees)
     w = Window.partitionBy("symbol").orderBy("trade_date")
     # rows from each date on in the symbol's order, the date's own row being 1: the last row up to the date is last_i
     last = {f"__last{i}": F.count_if(F.col("trade_date") <= F.lit(d)).over(Window.partitionBy("symbol")) for i, d in enumerate(dates)}

@@ -19,10 +19,13 @@ from barloom.operators import scoring as sc
 from barloom.operators.boundary import SampleBoundary
 from barloom.plans.compiler import evaluate_all, with_expressions
 from barloom.plans.expressions import FIELDS, complexity, parse
-from barloom.plans.slices import with_slices
+from barloom.plans.increment import KeptValues, with_warm_up
+from barloom.plans.slices import look_back, with_slices
 from barloom.plans.sql import BARS, EVENTS, USER_DAYS, WEEKS, corr_sql, expression_sql
 from barloom.shared import new_path, written
 from barloom.sources import datasets as ds
+from barloom.sources.checked import Checked, load_checked
+from barloom.sources.committed import ResultSet
 from barloom.sources.panels import bars_events, bars_lineitem, bars_user_day
 from barloom.sources.readers import DataRequest, FileSource, apply_request, preview
 
@@ -115,6 +118,41 @@ add("src_csv_roundtrip", src_roundtrip("csv"), bars_sql())
 add("src_json_roundtrip", src_roundtrip("json"), bars_sql())
 
 
+def src_checked(s: SparkSession, d: str) -> Checked:
+    """Bars written as JSON Lines of which some are spoilt, by a rule on symbol and month, and read back with a side table."""
+    bars = months(s, d).select(*BAR_COLUMNS)
+    rule = F.pmod(F.col("symbol").cast("int") * 31 + F.month("trade_date"), F.lit(20))
+    text = bars.withColumns({"trade_date": F.col("trade_date").cast("string"), "close": F.col("close").cast("string")})
+    spoilt = {"symbol": F.when(rule == 3, "").otherwise(F.col("symbol")), "trade_date": F.when(rule == 2, "1995-13-40").otherwise(F.col("trade_date")), "close": F.when(rule == 0, "n/a").otherwise(F.col("close"))}
+    line = F.to_json(F.struct(*[spoilt.get(c, F.col(c)).alias(c) for c in BAR_COLUMNS]))
+    path = new_path(s, "spoilt.jsonl")
+    text.withColumn("rule", rule).select(F.when(F.col("rule") == 1, line.substr(F.lit(1), F.length(line) - 1)).otherwise(line).alias("value")).write.text(path)
+    return load_checked(s, DataRequest(path), most=1.0)
+
+
+_RULE = "(CAST(symbol AS INTEGER) * 31 + month(trade_date)) % 20"
+add("src_checked_good", lambda s, d: src_checked(s, d).good.select(*BAR_COLUMNS), bars_sql(f"WHERE {_RULE} > 3"))
+add(
+    "src_checked_rejected", lambda s, d: src_checked(s, d).rejected.select(F.regexp_extract("record", '"symbol":"([^"]*)"', 1).alias("symbol"), F.regexp_extract("record", '"trade_date":"([^"]*)"', 1).alias("day"), "reason"),
+    f"""WITH p AS ({BARS}), q AS (SELECT symbol, strftime(trade_date, '%Y-%m-%d') AS day, {_RULE} AS k FROM p)
+SELECT CASE WHEN k = 3 THEN '' ELSE symbol END AS symbol, CASE WHEN k = 2 THEN '1995-13-40' ELSE day END AS day,
+CASE k WHEN 0 THEN 'unreadable close' WHEN 1 THEN 'malformed record' WHEN 2 THEN 'unreadable trade_date' ELSE 'no symbol' END AS reason FROM q WHERE k <= 3""",
+)
+
+
+def snk_committed(s: SparkSession, d: str) -> DataFrame:
+    """Two committed versions of a result set and a third that was never finished; the second is what is read."""
+    results = ResultSet(s, new_path(s, "results"))
+    bars = months(s, d).select(*BAR_COLUMNS)
+    results.commit({"bars": bars.limit(0)})
+    results.commit({"bars": bars})
+    bars.limit(0).write.parquet(f"{results.root}/data/000000003-unfinished/bars")
+    return results.table("bars")
+
+
+add("snk_committed", snk_committed, bars_sql())
+
+
 # --- validation
 
 add(
@@ -207,6 +245,34 @@ def long_sql(source: str = BARS, name: str = "v") -> str:
 
 add("factor_all_long", factor_all_long, f"WITH {long_sql()} SELECT factor_id, symbol, trade_date, {r('factor_value', 'factor_value', 6)} FROM v")
 
+#: Batches of dates that kept values are built from.
+BATCHES = ["1994-12-31", "1996-06-30", "1998-01-31", "9999-12-31"]
+KEPT = {"a": "div(sub(close, ts_mean(close, 12)), add(ts_std(delay(close, 2), 9), 1))", "b": "ts_rank(volume, 7)", "c": "corr(close, delay(close, 1), 8)"}
+
+
+def kept_values(s: SparkSession, d: str) -> DataFrame:
+    """Values of all dates, put together from batches of which each knows the tails before it only."""
+    p, kept, after = months(s, d), KeptValues(s, new_path(s, "kept"), KEPT), "0001-01-01"
+    for until in BATCHES:
+        kept.append(p.where((F.col("trade_date") > F.lit(after).cast("date")) & (F.col("trade_date") <= F.lit(until).cast("date"))))
+        after = until
+    return rounded(kept.values())
+
+
+add("kept_values", kept_values, f"WITH {expression_sql(KEPT, BARS)} SELECT symbol, trade_date, {', '.join(r(c, c) for c in KEPT)} FROM panel")
+
+
+def oos_warm(s: SparkSession, d: str) -> DataFrame:
+    """Out-of-sample values of the built-in factors that look back, warmed up by the train period's last rows."""
+    p = months(s, d)
+    wide = with_warm_up(p.where(F.col("trade_date") < F.lit(BOUNDS.oos_start).cast("date")), BOUNDS.oos(p), {f: e for f, e in SEED_EXPRESSIONS.items() if f in WARM})
+    return rounded(wide.select("symbol", "trade_date", *WARM), 6)
+
+
+WARM = [f for f, e in SEED_EXPRESSIONS.items() if look_back(parse(e)) is not None]
+add("oos_warm", oos_warm, f"""WITH {expression_sql({f: SEED_EXPRESSIONS[f] for f in WARM}, f"SELECT * FROM ({BARS}) WHERE trade_date <= DATE '{BOUNDS.oos_end}'")}
+SELECT symbol, trade_date, {', '.join(r(f, f, 6) for f in WARM)} FROM panel WHERE trade_date >= DATE '{BOUNDS.oos_start}'""")
+
 # --- the registry's texts
 
 

@@ -9,6 +9,7 @@ from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from barloom.panel import KEYS, normalize
 
@@ -48,37 +49,62 @@ def apply_request(df: DataFrame, request: DataRequest) -> DataFrame:
     return df
 
 
-def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """A raw table by file ending. Text columns of CSV stay text, so that symbols keep leading zeros."""
+def read_any(spark: SparkSession, path: str, bad: str = "", file: str = "") -> DataFrame:
+    """A raw table by file ending. Text columns of CSV stay text, so that symbols keep leading zeros.
+
+    bad: a column to add with the text of records that cannot be read, which otherwise are filled up or cut (CSV) or an error (JSON Lines);
+    file: a column to add with the file's path.
+    """
     ending = os.path.splitext(path.rstrip("/"))[1].lower()
     if ending == ".csv":
-        return spark.read.option("header", True).csv(path)
+        reader = spark.read.option("header", True)
+        if bad:
+            fields = [StructField(c, StringType()) for c in reader.csv(path).columns]
+            # without column pruning, a record's fields are counted whatever is selected
+            reader = reader.schema(StructType([*fields, StructField(bad, StringType())])).option("columnNameOfCorruptRecord", bad).option("columnPruning", False)
+        return with_file(reader.csv(path), file)
     if ending == ".parquet":
-        return spark.read.parquet(path)
+        df = with_file(spark.read.parquet(path), file)
+        return df.withColumn(bad, F.lit(None).cast("string")) if bad else df
     if ending in (".json", ".jsonl", ".ndjson"):
-        return read_json(spark, path)
+        return read_json(spark, path, bad, file)
     raise ValueError(f"cannot tell the format of {path}")
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
+def with_file(df: DataFrame, name: str) -> DataFrame:
+    return df.select("*", F.col("_metadata.file_path").alias(name)) if name else df
+
+
+def read_json(spark: SparkSession, path: str, bad: str = "", file: str = "") -> DataFrame:
     """Records as JSON Lines, or as files that each hold an array of records or one record over several lines; a folder may hold both kinds. A file
-    is taken as lines, which Spark splits among tasks, if its first line that isn't blank opens with { and closes all braces that it opens. Of each file the driver learns
-    its path and kind."""
+    is taken as lines, which Spark splits among tasks, if its first line that isn't blank, or more than half of its lines, open with { and close all braces that they open. Of each file the driver learns
+    its path and kind. A line that is no record, in a file of lines, is an error rather than a row of nulls; with bad, it is a row with its text in that column."""
     line = F.trim("value", F.lit(" \t\r\ufeff"))
     count = lambda c: F.char_length("value") - F.char_length(F.translate("value", c, ""))
     whole = F.col("value").startswith("{") & F.col("value").endswith("}") & (count("{") == count("}"))
     at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
     text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("at"), line.alias("value")).where("value <> ''")
-    kinds = text.select("file", "at", whole.alias("lines")).groupBy("file").agg(F.min_by("lines", "at").alias("lines")).collect()
+    kinds = text.select("file", "at", whole.alias("lines")).groupBy("file").agg((F.min_by("lines", "at") | (2 * F.count_if("lines") > F.count(F.lit(1)))).alias("lines")).collect()
     if not kinds:  # no line: no record
-        return spark.createDataFrame([], "symbol string, trade_date string")
-    reader = lambda: spark.read.option("primitivesAsString", True)
-    # a line that is no record, in a file of lines, is an error rather than a row of nulls
-    parts = [(reader().option("mode", "FAILFAST"), [r["file"] for r in kinds if r["lines"]]), (reader().option("multiLine", True), [r["file"] for r in kinds if not r["lines"]])]
-    parts = [(r, files) for r, files in parts if files]
+        return spark.createDataFrame([], "symbol string, trade_date string" + "".join(f", {c} string" for c in (bad, file) if c))
+
+    def read(lines: bool, files: str | list[str]) -> DataFrame:
+        reader = spark.read.option("primitivesAsString", True)
+        if lines and not bad:
+            reader = reader.option("mode", "FAILFAST")
+        if not lines:
+            reader = reader.option("multiLine", True)
+        if not bad:
+            return with_file(reader.json(files), file)
+        reader = reader.option("columnNameOfCorruptRecord", bad)
+        fields = [f for f in reader.json(files).schema if f.name != bad]
+        return with_file(reader.schema(StructType([*fields, StructField(bad, StringType())])).json(files), file)
+
+    parts = [(lines, [r["file"] for r in kinds if r["lines"] == lines]) for lines in (True, False)]
+    parts = [(lines, files) for lines, files in parts if files]
     if len(parts) == 1:
-        return parts[0][0].json(path)
-    one, two = (r.json([unquote(f) for f in files]) for r, files in parts)
+        return read(parts[0][0], path)
+    one, two = (read(lines, [unquote(f) for f in files]) for lines, files in parts)
     return one.unionByName(two, allowMissingColumns=True)
 
 

@@ -11,7 +11,8 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SOME = ["src_panel_months", "src_normalized", "flt_symbols_in", "val_missing_rates", "val_ohlc_logic", "ts_rank", "ts_corr", "cs_rank_date", "cs_winsorize_symbol", "op_compare", "op_bool", "ts_missing_values",
         "factor_017", "src_csv_roundtrip", "src_json_roundtrip", "expr_hash", "dedup_structural", "q_complexity", "daily_rankic", "metrics_all", "classify", "factor_corr_pairs", "dedup_numerical", "oos_decay", "weights_long_short", "port_summary_long_short", "port_prices_long_short", "port_prices_bottom", "q_truncation_rank",
-        "ts_slices_events", "cs_rank_date_ranges", "daily_rankic_raw", "daily_rankic_ranges", "rank_turnover_raw", "factor_corr_blocks", "dedup_numerical_rounds", "q_truncation_ts", "q_gate", "val_profile", "val_ohlc_anomaly", "q_near_constant"]
+        "ts_slices_events", "cs_rank_date_ranges", "daily_rankic_raw", "daily_rankic_ranges", "rank_turnover_raw", "factor_corr_blocks", "dedup_numerical_rounds", "q_truncation_ts", "q_gate", "val_profile", "val_ohlc_anomaly", "q_near_constant",
+        "src_checked_good", "src_checked_rejected", "snk_committed", "kept_values", "oos_warm"]
 
 
 @pytest.fixture(scope="module")
