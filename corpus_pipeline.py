@@ -17,6 +17,16 @@ from barloom.llm.common import read, stage, stage_path
 from barloom.llm.queries.texts import TOKENIZER
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Bytes that go to a Python worker at once, or one row: bounds the memory of workers and of what feeds them, not the work.
+BATCH_BYTES = 8_000_000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on Arrow batches to BATCH_BYTES, where it is higher or off."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int("".join(c for c in spark.conf.get(name) if c in "-0123456789"))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -33,6 +43,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: rows that the base or a certified cutoff rejects go, null and empty texts among them. Every row is judged
     by its own text and language, whether its id is null or repeated; rows that are alike stay or go together. Long texts are judged whole; columns
     beyond COLUMNS are dropped; an empty table stays empty."""
+    _small_batches(spark)
     labels = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     verdicts = quality_rules.judge(_keyed(docs), labels, stage=stage, keep=["__of"]).where("kept")
     verdicts = verdicts.select(*[F.col(c).alias(f"k_{c}") for c in ("doc_id", "__of", "lang")]).distinct()
@@ -52,6 +63,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """N-gram Jaccard join on five words at 0.8: the smallest doc_id of each group stays. Rows that repeat an id are one
     document and stay or go together; rows without an id or without words link with nothing and stay. Long texts are compared by their whole sets, ties at
     0.8 link; columns beyond COLUMNS are dropped; an empty table stays empty."""
+    _small_batches(spark)
     others = jaccard.join_groups(docs, k=5, percent=80).where("doc_id <> component_id").select("doc_id")
     return docs.join(others.distinct(), "doc_id", "left_anti").select(*COLUMNS)
 
@@ -70,6 +82,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """BPE: the token ids of each text and the hash of what they decode to. Null and empty texts have no tokens; every row,
     repeated or without an id, gets its own. Long texts are encoded whole; columns beyond COLUMNS are dropped; an empty table stays empty."""
+    _small_batches(spark)
     coded = bpe.encode(docs, TOKENIZER, keep=COLUMNS)
     back = bpe.decode(coded, TOKENIZER, [*[c for c in COLUMNS if c != "text"], "n_tokens", "ids"])
     return back.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
