@@ -22,10 +22,10 @@ BATCH_BYTES = 8_000_000
 
 
 def _small_batches(spark: SparkSession) -> None:
-    """Lowers the session's bound on Arrow batches to BATCH_BYTES, where it is higher or off."""
+    """Lowers the session's bound on Arrow batches to BATCH_BYTES, where it is higher."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int("".join(c for c in spark.conf.get(name) if c in "-0123456789"))
-    if not 0 < now <= BATCH_BYTES:
+    now = spark.conf.get(name)
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) > BATCH_BYTES:
         spark.conf.set(name, BATCH_BYTES)
 
 
