@@ -97,3 +97,47 @@ def test_truncation_of_bounded_functions_is_one_pass(spark):
     panel = dated(spark)
     plans = [truncation_test(panel, {"a": "ts_mean(close, 9)"}, truncation_dates(panel, k, None))._jdf.queryExecution().optimizedPlan().toString().count("Window") for k in (2, 10)]
     assert plans[0] == plans[1]
+
+
+EVERY = EXPRESSIONS | {
+    "e": "rank(close) * 2 - zscore(close)", "f": "winsorize(close, 1) + delta(close, 3) / volume", "g": "ts_mean(rank(close), 3) + cov(close, volume, 5)", "h": "where(ts_min(close, 4) > ts_sum(volume, 2) / 20, ret(volume, 2), ts_max(close, 8))",
+    "i": "rank(ts_std(ret(volume, 1), 6)) > 0.5 or close < 0.2", "j": "ts_rank(volume, 20) + delay(close, 0) + corr(rank(close), volume, 9) + ts_mean(close, 80)",
+}
+
+
+def test_values_up_to_dates_of_whole_histories(spark):
+    panel = bars(spark, 300).where("symbol is not null")
+    dates = [0, 31, 33, 150, 299, 500]
+    got = {(r["symbol"], r["trade_date"]): r for r in up_to_dates(panel, EVERY, dates).collect()}
+    want = {}
+    for d in dates:
+        for r in with_expressions(panel.where(F.col("trade_date") <= d), EVERY).where(F.col("trade_date") == d).collect():
+            want[r["symbol"], r["trade_date"]] = r
+    assert got.keys() == want.keys() and want
+    assert all(same(got[k][c], want[k][c]) for k in want for c in EVERY)
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_outer_windows_are_aggregates_at_test_dates(spark):
+    panel = dated(spark)
+    plan = optimized(up_to_dates(panel, {"a": "ts_std(ts_mean(close, 9), 31)"}, truncation_dates(panel, 10, None)))
+    assert "RowFrame, -8" in plan and "RowFrame, -30" not in plan
+
+
+@pytest.mark.parametrize("scope", ["symbol", "date"])
+def test_truncation_of_whole_histories_is_one_pass(spark, scope):
+    panel = dated(spark)
+    e = {"x": "rank(close)", "y": "mul(rank(ret(close, 5)), rank(close))"}
+    assert len({optimized(truncation_test(panel, e, truncation_dates(panel, k, None), scope)).count("Window") for k in (2, 10)}) == 1
+    dates = truncation_dates(panel, 3, None)
+    got = {(r["factor_id"], r["trade_date"]): r for r in truncation_test(panel, e, dates, scope).collect()}
+    full = with_expressions(panel, e, scope)
+    for d in dates:
+        cut = with_expressions(panel.where(F.col("trade_date") <= F.lit(d)), e, scope).select("symbol", "trade_date", *[F.col(f).alias(f"cut_{f}") for f in e])
+        both = full.join(cut.where(F.col("trade_date") == F.lit(d)), ["symbol", "trade_date"])
+        for f in e:
+            w = both.where(f"{f} is not null and cut_{f} is not null").agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col(f) - F.col(f"cut_{f}"))).alias("m")).first()
+            assert got[f, d]["n"] == w["n"] and same(got[f, d]["max_diff"], w["m"])
