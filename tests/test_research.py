@@ -11,6 +11,7 @@ from barloom.config import Config, PortfolioConfig, QualityConfig
 from barloom.library import Factor, Registry, seed_factors
 from barloom.operators import backtest, metrics, quality, scoring
 from barloom.pipeline import PipelineRunner
+from barloom.plans.compiler import evaluate_all, with_expressions
 from barloom.sources.readers import DataRequest, SyntheticSource
 
 DAYS = [d.date() for d in pd.bdate_range("2022-01-03", periods=40)]
@@ -48,6 +49,38 @@ def test_turnover_equals_pandas(spark):
     assert metrics.all_metrics(long(spark, rows[:3])).first()["n_valid_dates"] == 0
 
 
+def test_turnover_hashes_no_rows(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f, s, d, None if rng.random() < 0.2 else float(rng.integers(0, 9)), 0.0) for f in "fg" for s in "abcdef" for d in DAYS[:9] if rng.random() > 0.2]
+    for digits, unique in ((None, False), (9, True)):
+        got = metrics.rank_turnover(long(spark, rows), digits, unique)
+        assert not any("Aggregate [" in x and "symbol#" in x.split("]")[0] and "trade_date#" in x.split("]")[0] for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    plain, taken = ({r["factor_id"]: r["turnover"] for r in metrics.rank_turnover(long(spark, rows), None, u).collect()} for u in (False, True))
+    assert plain == pytest.approx(taken) and len(plain) == 2
+    # two values of a symbol on one date count as their mean
+    twice = [(f, s, d, None if v is None else v + k, y) for f, s, d, v, y in rows for k in (-0.25, 0.25)]
+    assert {r["factor_id"]: r["turnover"] for r in metrics.rank_turnover(long(spark, twice)).collect()} == pytest.approx(plain)
+
+
+def test_values_are_written_before_they_become_long(spark):
+    df = spark.createDataFrame([(s, d, float(i * 7 % 5 + 1)) for s in "ab" for i, d in enumerate(DAYS[:8])], "symbol string, trade_date date, close double")
+    seen = []
+    factors = {"x": ("ret(close, 1)", 1), "y": ("ts_mean(close, 3)", -1)}
+    got = evaluate_all(df, factors, through=lambda wide: seen.append((wide.count(), "factor_id" in wide.columns)) or wide)
+    assert seen == [(16, False)] and sorted(map(str, got.collect())) == sorted(map(str, evaluate_all(df, factors).collect()))
+
+
+def test_gate_computes_all_rows_once(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(quality, "with_expressions", lambda *a: calls.append(1) or with_expressions(*a))
+    days = [d.date() for d in pd.bdate_range("2022-01-03", periods=50)]
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(s, d, float(rng.random() + 1)) for s in "abcd" for d in days], "symbol string, trade_date date, close double")
+    told = "a description that is long enough"
+    out = quality.check_all([Factor("a", "a", "ret(close, 3)", description=told), Factor("b", "b", "rank(close)", description=told), Factor("c", "c", "close * 0", description=told)], df, seed=None)
+    assert [(r.factor_id, r.stage) for r in out] == [("a", ""), ("b", "truncation"), ("c", "nan_constant")] and len(calls) == 1
+
+
 def test_forward_return_over_gaps(spark):
     df = spark.createDataFrame([("a", DAYS[i], c) for i, c in enumerate([1.0, None, 2.0, 4.0])], "symbol string, trade_date date, close double")
     got = [r["forward_return"] for r in metrics.with_forward_return(df).orderBy("trade_date").collect()]
