@@ -35,6 +35,18 @@ def test_rankic_equals_the_window_form(spark):
     assert all(got[k][1] == want[k][1] and math.isclose(got[k][0], want[k][0], abs_tol=1e-12) for k in want)
 
 
+@pytest.mark.parametrize("most", [7, 60, 10_000])
+def test_large_groups_are_cut_and_small_ones_are_not(spark, monkeypatch, most):
+    df = rows(spark, 700, 5)
+    want = {r["id"]: (r["r"], r["n"]) for r in df.withColumns({"r": average_rank(F.col("v"), "g"), "n": F.expr("count(v) over (partition by g)")}).collect()}
+    monkeypatch.setattr(ranks, "ROWS", most)
+    got = ranks.with_average_rank(df.drop("__n"), ["g"], "v", "r", count="n")
+    assert {r["id"]: (r["r"], r["n"]) for r in got.collect()} == want
+    pairs = df.select(F.lit("f").alias("factor_id"), F.coalesce("g", F.lit("n")).alias("trade_date"), F.col("v").alias("factor_value"), F.col("u").alias("forward_return"))
+    plan = ranks.daily_rankic(pairs)._jdf.queryExecution().optimizedPlan().toString()
+    assert ("__range" in plan) == (most < 300)
+
+
 def test_one_date_of_many_symbols_is_dealt_evenly(spark):
     df = spark.range(0, 1_000_000).select(F.lit("2020-01-01").alias("trade_date"), F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(0.0)).otherwise(F.rand(7)).alias("v"))
     order = [F.col("trade_date"), F.col("v"), F.xxhash64(*df.columns)]
