@@ -62,6 +62,21 @@ def test_turnover_hashes_no_rows(spark):
     assert {r["factor_id"]: r["turnover"] for r in metrics.rank_turnover(long(spark, twice)).collect()} == pytest.approx(plain)
 
 
+def test_metrics_of_unique_values_take_one_pass(spark):
+    rng = np.random.default_rng(9)
+    pick = lambda share, k: None if rng.random() < share else float(rng.integers(0, k)) / 3
+    rows = [(f, s, d, pick(0.2, 9), pick(0.3, 5)) for f in "fgh" for s in "abcdefgh" for d in DAYS[:12] if rng.random() > 0.2]
+    rows += [("few", s, DAYS[0], 1.0, 2.0) for s in "abc"] + [("none", "a", DAYS[0], None, 1.0)] + [("flat", s, d, 1.0, 2.0) for s in "abcdef" for d in DAYS[:3]]
+    rows += [("unpaired", s, d, float(rng.random()), None) for s in "abcdef" for d in DAYS[:3]]
+    df = long(spark, rows)
+    plain, one = ({r["factor_id"]: r.asDict() for r in metrics.all_metrics(df, digits=9, unique=u).collect()} for u in (False, True))
+    assert plain.keys() == one.keys() == {"f", "g", "h", "few", "none", "flat", "unpaired"}
+    for f, want in plain.items():
+        assert one[f].keys() == want.keys() and all(one[f][c] == (w if w is None or isinstance(w, str) else pytest.approx(w)) for c, w in want.items()), (f, one[f], want)
+    sorts = [metrics.all_metrics(df, unique=u)._jdf.queryExecution().executedPlan().toString().count("Sort [factor_id#") for u in (False, True)]
+    assert sorts[1] < sorts[0]
+
+
 def test_values_are_written_before_they_become_long(spark):
     df = spark.createDataFrame([(s, d, float(i * 7 % 5 + 1)) for s in "ab" for i, d in enumerate(DAYS[:8])], "symbol string, trade_date date, close double")
     seen = []
